@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, langid, mixture, ogg, secrets_crf, toxicity, warc
+from . import fm_index, langid, mixture, ngram_join, ogg, secrets_crf, toxicity, warc
 from .common import table
 
 
@@ -13,6 +13,10 @@ def fold_of(divisor: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % divisor
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
@@ -53,5 +57,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(records).select("record_id", "canonical_url", "seconds", "status", "refers_to", "body_sha256", "body_bytes", F.md5(entries).alias("headers_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_mixture, op4_ogg, op5_langid, op8_decontamination, op9_secrets, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_mixture, op4_ogg, op5_langid, op8_decontamination, op9_secrets, op10_warc)}
 ORACLES: dict[str, str] = {}
