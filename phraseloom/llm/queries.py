@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, langid, mixture, ngram_join, ogg, secrets_crf, toxicity, warc
+from . import fm_index, langid, mixture, ngram_join, ogg, pii, secrets_crf, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,14 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda x: x["base"])
+    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fm_index.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -57,5 +65,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(records).select("record_id", "canonical_url", "seconds", "status", "refers_to", "body_sha256", "body_bytes", F.md5(entries).alias("headers_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_mixture, op4_ogg, op5_langid, op8_decontamination, op9_secrets, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_mixture, op4_ogg, op5_langid, op7_pii, op8_decontamination, op9_secrets, op10_warc)}
 ORACLES: dict[str, str] = {}
