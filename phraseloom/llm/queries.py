@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fm_index, langid, mixture, ngram_join, ogg, pii, secrets_crf, toxicity, warc
+from . import fm_index, langid, mixture, ngram_join, ogg, pii, secrets_crf, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -37,6 +37,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
@@ -65,5 +69,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.resolve(records).select("record_id", "canonical_url", "seconds", "status", "refers_to", "body_sha256", "body_bytes", F.md5(entries).alias("headers_md5"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_mixture, op4_ogg, op5_langid, op7_pii, op8_decontamination, op9_secrets, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_toxicity, op3_mixture, op4_ogg, op5_langid, op6_suffix_dedup, op7_pii, op8_decontamination, op9_secrets, op10_warc)}
 ORACLES: dict[str, str] = {}
