@@ -159,3 +159,18 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def passed(batch: pa.RecordBatch, keep: list[bool] | None = None, texts: list[str | None] | None = None) -> pa.RecordBatch:
+    """The batch with new texts, whose lengths go to n_chars where there is such a column, and without the rows that are not kept."""
+    if texts is not None:
+        at = batch.schema.get_field_index("text")
+        columns = list(batch.columns)
+        columns[at] = pa.array(texts, batch.schema.field(at).type)
+        n = batch.schema.get_field_index("n_chars")
+        if n >= 0:
+            changed = [t is not None and t != old for t, old in zip(texts, batch.column(at).to_pylist(), strict=True)]
+            sizes = [len(t) if c else old for t, c, old in zip(texts, changed, columns[n].to_pylist(), strict=True)]
+            columns[n] = pa.array(sizes, batch.schema.field(n).type)
+        batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+    return batch if keep is None else batch.filter(pa.array(keep, pa.bool_()))

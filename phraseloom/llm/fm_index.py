@@ -15,13 +15,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lowered, runs, spans_of, text_bytes, word_hashes
+from .common import lowered, materialize, passed, runs, spans_of, text_bytes, word_hashes
 
 WINDOW = 10
 SAMPLE = 16
@@ -303,10 +304,6 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
 def merged(parts: list[DataFrame], docs: DataFrame) -> DataFrame:
     """Hits of several blocks together; words and spans are counted on the merged spans."""
-    from functools import reduce
-
-    from .common import materialize
-
     found = materialize(reduce(DataFrame.unionByName, (p.where("n_hit > 0").distinct() for p in parts)), "hits")
     every = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
     zero = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
@@ -328,3 +325,40 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
         at = e
     kept.append(text[at:])
     return " ".join(x.strip(" ") if 0 < k < len(kept) - 1 else x.rstrip(" ") if not k else x.lstrip(" ") for k, x in enumerate(kept))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs, with all their columns, without the hit words; texts of which no word is left go.
+
+    Blocks of the benchmark apply in turn, each to what the ones before left.
+    """
+    for block in blocks_of(benchmark, block_bytes):
+        rows = block.select(F.col("item_id").cast("string"), "text").collect()  # a block, of bounded size
+        queries = docs.sparkSession.sparkContext.broadcast(queries_of([(r[0], r[1]) for r in rows], window))
+
+        def cleaned(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
+            shard, held = _Shard(queries.value), []
+
+            def out() -> Iterator[pa.RecordBatch]:
+                spans = [s for part in shard.result() for s in part.column("spans").to_pylist()]
+                at = 0
+                for batch in held:
+                    own = spans[at : at + batch.num_rows]
+                    at += batch.num_rows
+                    if any(own):
+                        texts = [without_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(batch.column("text").to_pylist(), own, strict=True)]
+                        yield passed(batch, keep=[not s or bool(t.strip()) for t, s in zip(texts, own, strict=True)], texts=texts)
+                    else:
+                        yield batch
+
+            for batch in runs(batches, "text", 2 << 20):
+                shard.add(batch)
+                held.append(batch)
+                if shard.size >= SHARD_SYMBOLS or shard.bytes >= SHARD_BYTES:
+                    yield from out()
+                    held = []
+            if held:
+                yield from out()
+
+        docs = docs.mapInArrow(cleaned, docs.schema)
+    return docs

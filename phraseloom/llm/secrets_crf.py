@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, runs, spans_of, text_bytes, word_hashes
+from .common import U64, passed, runs, spans_of, text_bytes, word_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -291,3 +291,16 @@ def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]
             out += [text[at:s], mark]
         at = max(at, e)
     return "".join([*out, text[at:]])
+
+
+def redact(docs: DataFrame, model: Model, mark: str = "[SECRET]") -> DataFrame:
+    """docs, with all their columns, with the secrets in text replaced."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, "text", 1 << 20):
+            texts = batch.column("text").to_pylist()
+            found = scan(shared.value, batch.column("text"))
+            yield passed(batch, texts=[redacted(t, s, mark) if s else t for t, s in zip(texts, found, strict=True)]) if any(found) else batch
+
+    return docs.mapInArrow(cleaned, docs.schema)

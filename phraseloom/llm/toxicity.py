@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, forget, materialize, mix, runs
+from .common import U64, forget, materialize, mix, passed, runs
 
 # Letters of other scripts and forms that look like Latin letters.
 HOMOGLYPHS = {
@@ -220,3 +220,15 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def learnable(labels: DataFrame) -> DataFrame:
     """Labels outside the held-out fold."""
     return labels.where(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+
+
+def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is below the threshold."""
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = lexicon.automaton()
+        for batch in runs(batches, "text", 4 << 20):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield passed(batch, keep=[score_of(lexicon, t, matches(automaton, fold(t))) < threshold for t in texts])
+
+    return docs.mapInArrow(kept, docs.schema)
