@@ -1,7 +1,8 @@
 """Toxicity: a weighted lexicon matched by Aho-Corasick over folded text.
 
 Folding replaces homoglyphs and, inside words, digits and symbols that stand for letters, one
-character for one, so that positions stay. Matches must be whole words; a match inside an
+character for one, so that positions stay. Matches must be whole words, or the start of one for entries
+that end in *; a match inside an
 exception phrase does not count. The sum of weights is normalised by the text's length, and a
 logistic function of it gives the score. Lexicon, exceptions and the function are learned from
 a bounded sample of labelled rows (`max_rows` of each label, taken by a hash of doc_id).
@@ -36,7 +37,10 @@ HOMOGLYPHS = {
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "€": "e"}
 FOLD = {ord(k): v for k, v in HOMOGLYPHS.items()} | {0xFF21 + i: chr(97 + i) for i in range(26)} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {ord("A") + i: chr(97 + i) for i in range(26)}
 FOLD |= {ord(k.upper()): v for k, v in HOMOGLYPHS.items() if len(k.upper()) == 1 and not k.upper().isascii()}
-MIN_ODDS, MIN_SURE = 6, 3.5
+#: Lengths of word starts that may be entries
+STEMS = (5, 6, 7)
+#: 23: one word in a million passes by chance
+MIN_ODDS, MIN_SURE = 6, 23
 INNER = re.compile(r"[0134578@$!|€9]+(?=[^\W\d_])")
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -71,32 +75,39 @@ class Lexicon:
     logistic: tuple[float, float, float, float]
 
     def automaton(self) -> ahocorasick.Automaton:
+        """Each phrase with its length, its weight as a whole word and as the start of one; no weights at an exception."""
         found = ahocorasick.Automaton()
-        for phrase in self.exceptions:
-            found.add_word(phrase, (len(phrase), None))
+        keys: dict[str, list[float]] = {}
         for word, weight in self.words:
-            if word not in self.exceptions:
-                found.add_word(word, (len(word), weight))
+            keys.setdefault(word.rstrip("*"), [0.0, 0.0])[word.endswith("*")] = weight
+        for key, (own, stem) in keys.items():
+            found.add_word(key, (len(key), own, stem))
+        for phrase in self.exceptions:
+            found.add_word(phrase, (len(phrase), None, None))
         if len(found):
             found.make_automaton()
         return found
 
 
-def whole(text: str, start: int, end: int) -> bool:
-    """Whether no letter or digit touches text[start:end]."""
-    return not (start and text[start - 1].isalnum()) and not (end < len(text) and text[end].isalnum())
-
-
 def matches(automaton: ahocorasick.Automaton, folded: str) -> list[tuple[int, int, float]]:
-    """Start, end and weight of the words that count."""
+    """Start, end and weight of the words that count; of a word's matches the heaviest."""
     if not len(automaton):
         return []
-    hits, excused = [], []
-    for last, (size, weight) in automaton.iter(folded):
+    hits: dict[int, tuple[int, int, float]] = {}
+    excused = []
+    for last, (size, own, stem) in automaton.iter(folded):
         start, end = last + 1 - size, last + 1
-        if whole(folded, start, end):
-            (excused if weight is None else hits).append((start, end, weight))
-    return [h for h in hits if not any(s <= h[0] and h[1] <= e for s, e, _ in excused)] if excused else hits
+        if start and folded[start - 1].isalnum():
+            continue
+        ends = not (end < len(folded) and folded[end].isalnum())
+        if own is None:
+            if ends:
+                excused.append((start, end))
+            continue
+        weight = max(own, stem) if ends else stem
+        if weight and weight >= hits.get(start, (0, 0, 0.0))[2]:
+            hits[start] = (start, end, weight)
+    return [h for h in hits.values() if not any(s <= h[0] and h[1] <= e for s, e in excused)] if excused else list(hits.values())
 
 
 def measures(text: str, hits: list[tuple[int, int, float]]) -> tuple[float, float, float]:
@@ -119,6 +130,8 @@ def _word_rows(batches: Iterator[pa.RecordBatch], around: frozenset[str] | None
             ends = [int(mix(hashes + U64((k + 1) << 33)).min() >> U64(1)) for k in range(3)]
             if around is not None:
                 own = {f"{a} {b}" for a, b in zip(found, found[1:], strict=False) if a in around or b in around}
+            else:
+                own |= {f"{w[:k]}*" for w in own for k in STEMS if len(w) > k}
             words += own
             toxic += [y] * len(own)
             keys += [ends] * len(own)
@@ -140,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
 
     A word's count is the number of distinct texts that hold it, where near copies count once
     or a few times. A word enters with at least four toxic texts and odds above MIN_ODDS for
-    toxic texts that are MIN_SURE standard errors from even; its weight is the log of the odds. A word
+    toxic texts whose log-likelihood ratio exceeds MIN_SURE; its weight is the log of the odds. A word
     pair around a lexicon word is an exception if clean texts hold it and toxic texts don't
     more often. Without labels of either kind nothing is learned and all scores are 0.5 or
     the share that the labels have.
@@ -155,7 +168,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
         one = F.least("n0", "n1", "n2")
         counts = counts.groupBy("word").agg(F.sum(F.when(F.col("toxic") == 1, one).otherwise(0)).alias("pos"), F.sum(F.when(F.col("toxic") == 0, one).otherwise(0)).alias("neg"))
         odds = F.log((F.col("pos") + 0.5) / (n_pos + 1)) - F.log((F.col("neg") + 0.5) / (n_neg + 1))
-        return counts.withColumn("odds", odds).withColumn("sure", odds / F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5)))
+        share = n_pos / (n_pos + n_neg)
+        gain = lambda k, p: F.when(F.col(k) > 0, F.col(k) * F.log(F.col(k) / ((F.col("pos") + F.col("neg")) * p))).otherwise(0.0)
+        return counts.withColumn("odds", odds).withColumn("sure", 2 * (gain("pos", share) + gain("neg", 1 - share)))
 
     lexicon: dict[str, float] = {}
     exceptions: list[str] = []
