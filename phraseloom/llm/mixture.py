@@ -121,7 +121,7 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1)
     inside = counts.join(fixed, "source_no").select("source_no", "n_blocks", F.col("at").alias("low"), F.least(F.col("at") + F.col("n"), F.col("quota")).alias("high")).where("high > low")
     # as many slots are overdrawn in all as fall short in all, so the short ones take their last places
     short = fixed.where("quota > drawn").select("source_no", "n_blocks", F.explode(F.sequence(F.col("drawn"), F.col("quota") - 1, F.lit(shard))).alias("low"), "quota").select("source_no", "n_blocks", "low", F.least(F.col("low") + shard, F.col("quota")).alias("high"))
-    taken = inside.union(short).select("source_no", "n_blocks", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
+    taken = inside.union(short).repartition("source_no", "low").select("source_no", "n_blocks", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
     chosen = permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "source_no", F.floor(F.col("k") / F.col("n_blocks"))))
     uses = taken.select("source_no", chosen.alias("block")).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
 
