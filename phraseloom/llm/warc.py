@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Headers that a 304 response renews (RFC 9110, 15.4.5), and its date.
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "age", "server", "set-cookie")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
@@ -119,8 +121,8 @@ def resolve(records: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
     the stretches' last responses before; so a URL with very many captures is many tasks' work.
     """
     r = records.where(F.col("error").isNull() & F.col("type").isin("response", "revisit")).withColumn("canonical_url", canonical(F.col("url"))).withColumn("_bucket", F.floor(F.col("seconds") / bucket_s))
-    full = F.when(F.col("type") == "response", F.struct("seconds", "record_id", "headers", "digest", "body_sha256", "body_bytes"))
-    r = r.withColumn("_full", full)
+    # bodies stay behind; what is left is small and read several times
+    r = materialize(r.select("record_id", "type", "canonical_url", "seconds", "_bucket", "headers", "digest", "body_sha256", "body_bytes"), "warc-records")
     known = r.where("canonical_url is not null")
     inside = Window.partitionBy("canonical_url", "_bucket").orderBy("seconds").rangeBetween(Window.unboundedPreceding, -1)
     latest = F.max(F.when(F.col("type") == "response", F.struct("seconds", "record_id"))).over(inside)
