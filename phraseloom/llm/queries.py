@@ -45,7 +45,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
     base = F.filter("spans", lambda x: x["base"])
-    counts = [F.size(F.filter("spans", lambda x, k=k: x["base"] & (x["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    counts = [F.size(F.filter("spans", (lambda kind: lambda x: x["base"] & (x["kind"] == kind))(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
