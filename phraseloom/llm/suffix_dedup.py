@@ -40,6 +40,7 @@ HOT = 20_000
 FLUSH = 400_000
 BUCKET_ENTRIES = 1_000_000
 BUCKET_BYTES = 2_500_000
+SORT_BYTES = 600_000
 NULL_ID = -(1 << 63)
 
 
@@ -96,26 +97,32 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     b1 = np.arange(1, n + (n % 3 == 1), 3)
     b2 = np.arange(2, n, 3)
     sample = np.concatenate([b1, b2])
-    a, b, c = padded[sample], padded[sample + 1], padded[sample + 2]
     top = int(padded.max()) + 1
     if top < 1 << 21:
-        key = (a * top + b) * top + c
-        order = np.argsort(key, kind="stable")
+        key = (padded[sample] * top + padded[sample + 1]) * top + padded[sample + 2]
+        order = np.argsort(key)
         key = key[order]
         new = key[1:] != key[:-1]
+        del key
     else:
-        order = np.lexsort((c, b, a))
-        x, y, z = a[order], b[order], c[order]
-        new = (x[1:] != x[:-1]) | (y[1:] != y[:-1]) | (z[1:] != z[:-1])
-    names = np.empty(len(sample), np.int64)
-    names[order] = np.concatenate([[1], 1 + np.cumsum(new)])
-    sorted_sample = sample[order if new.all() else suffix_array(names)]
+        order = np.lexsort((padded[sample + 2], padded[sample + 1], padded[sample]))
+        by = sample[order]
+        new = (padded[by[1:]] != padded[by[:-1]]) | (padded[by[1:] + 1] != padded[by[:-1] + 1]) | (padded[by[1:] + 2] != padded[by[:-1] + 2])
+        del by
+    if not new.all():
+        names = np.empty(len(sample), np.int64)
+        names[order] = np.concatenate([[1], 1 + np.cumsum(new)])
+        del order, new
+        order = suffix_array(names)
+        del names
+    sorted_sample = sample[order]
+    del order
     rank = np.zeros(n + 3, np.int64)
     rank[sorted_sample] = np.arange(1, len(sample) + 1)
     b0 = np.arange(0, n, 3)
     wide = len(sample) + 2
     first = padded[b0] * wide + rank[b0 + 1]
-    sorted0 = b0[np.argsort(first, kind="stable")]
+    sorted0 = b0[np.argsort(first)]
     sorted_sample = sorted_sample[sorted_sample < n]
     # how many sampled suffixes come before each of the rest
     one, two = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
@@ -162,14 +169,13 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, length: int = LENGTH
         same[live] = words[sa[live] + at] == words[sa[live + 1] + at]
     for at in range(length) if length < 8 else []:
         same &= raw[sa[:-1] + at] == raw[sa[1:] + at]
-    heads = np.concatenate([[True], ~same]) if len(sa) else np.zeros(0, bool)
-    group = np.cumsum(heads) - 1
-    doc, place = order[text[sa], 0], order[text[sa], 1] + start[sa]
-    by = np.lexsort((place, doc, group))
-    g = group[by]
-    lead = by[np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1])] if len(by) else by
-    later = (doc != doc[lead][group]) | (place != place[lead][group])
-    hits = sa[later]
+    if not len(sa):
+        return [np.zeros(0, np.int64)] * len(texts)
+    heads = np.concatenate([[0], np.flatnonzero(~same) + 1])
+    # places in one number: the document's rank, then the byte
+    place = (np.unique(order[:, 0], return_inverse=True)[1][text[sa]] << 40) + order[text[sa], 1] + start[sa]
+    first = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.concatenate([heads, [len(sa)]])))
+    hits = sa[place != first]
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
     hits = np.sort(hits)
     edges = np.searchsorted(hits, begin)
@@ -400,9 +406,14 @@ def marks_of(packed: DataFrame, n_buckets: int) -> DataFrame:
             for v, _ in earliest:
                 counts[v] = counts.get(v, 0) + 1
             kept = [(v, c) for v, c in earliest if counts[v] > 1 or len(c) > LENGTH]
-            if kept:
-                order = np.array([earliest[k] for k in kept], np.int64)
-                for k, starts in enumerate(repeated_windows([c for _, c in kept], order)):
+            # by shares of the hashes, so that the arrays of a sort stay small
+            n_parts = 1 + sum(len(c) for _, c in kept) // SORT_BYTES
+            for share in range(n_parts):
+                part = [k for k in kept if k[0] % n_parts == share] if n_parts > 1 else kept
+                if not part:
+                    continue
+                order = np.array([earliest[k] for k in part], np.int64)
+                for k, starts in enumerate(repeated_windows([c for _, c in part], order)):
                     if len(starts):
                         a, b = covers(starts)
                         out.append((np.full(len(a), order[k, 0]), a + order[k, 1], b + order[k, 1]))
