@@ -131,7 +131,7 @@ def model_windows(spark, sf_dir):
 @query(f"SELECT doc_id, count(*) AS clauses, sum(length(regexp_replace(clause, '[^\\p{{Han}}]', '', 'g')) - 12)::BIGINT AS cuts FROM {_HANS} GROUP BY doc_id")
 def uniform_split(spark, sf_dir):
     """All gaps alike and no threshold: a cut after each letter while 13 units stay. By the chunker itself."""
-    rows = S.clauses(_docs(spark, sf_dir), F.replace(P, F.lit(" "), F.lit("")), ["doc_id"]).where(F.col("clause").rlike(f"^{T.HAN}{{13,}}[^{T.HAN}]?$"))
+    rows = S.clauses(_docs(spark, sf_dir), F.replace(P, F.lit(" "), F.lit("")), ["doc_id"]).where(F.col("clause").rlike(rf"\A{T.HAN}{{13,}}[^{T.HAN}]?\z"))
     cut = segment(rows, Uniform(), text="clause", keep=["doc_id"], options=Options(min_confidence=0, strategy="fixed"))
     return cut.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.sum(F.size("offsets")).alias("cuts"))
 
