@@ -41,8 +41,8 @@ WORDS = 5
 #: The threshold as a fraction
 NEED = (3, 4)
 FREQUENT = 0.003
-BUCKET_SIGNATURES = 1_500_000
-FLUSH = 1_500_000
+BUCKET_SIGNATURES = 1_000_000
+FLUSH = 500_000
 CUTS_RARE, CUTS_ALL = 2, 6
 STEP = U64(0xD6E8FEB86659FD93)
 
@@ -192,23 +192,22 @@ def signed(docs: DataFrame, frequent: np.ndarray, n_buckets: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def packed(sigs: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.lexsort((ids, sigs))
-        sigs, ids = sigs[order], ids[order]
+        # by bucket, then signature; so a bucket's entries are one stretch
+        bucket = (sigs % U64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.int64)
+        order = np.argsort(sigs)
+        order = order[np.argsort(bucket[order], kind="stable")]
+        sigs, ids, bucket = sigs[order], ids[order], bucket[order]
         heads, sizes = _groups(sigs)
+        lead_id, more, lead_sig, lead_bucket = np.minimum.reduceat(ids, heads), (sizes > 1).astype(np.uint8), sigs[heads], bucket[heads]
         many = np.flatnonzero(sizes > 1)
-        columns = ([-1] * len(many), [sigs[heads[g]].tobytes() for g in many], [ids[heads[g] : heads[g] + sizes[g]].tobytes() for g in many])
-        lead_sig, lead_id, more = sigs[heads], ids[heads], (sizes > 1).astype(np.uint8)
-        bucket = (lead_sig % U64(n_buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        at, n = _groups(bucket[order])
-        for a, size in zip(at.tolist(), n.tolist(), strict=True):
-            pick = order[a : a + size]
-            columns[0].append(int(bucket[pick[0]]))
-            columns[1].append(_planes(lead_sig[pick]))
-            columns[2].append(_planes(lead_id[pick]))
-        marks = [None] * len(many) + [more[order[a : a + size]].tobytes() for a, size in zip(at.tolist(), n.tolist(), strict=True)]
-        for k in range(0, len(marks), 4096):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0][k : k + 4096], pa.int32()), *(pa.array(c[k : k + 4096], pa.binary()) for c in (columns[1], columns[2], marks))], names=["bucket", "sigs", "docs", "more"])
+        for k in range(0, len(many), 4096):
+            part = many[k : k + 4096].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(part), pa.int32()), pa.array([sigs[heads[g]].tobytes() for g in part], pa.binary()), pa.array([np.sort(ids[heads[g] : heads[g] + sizes[g]]).tobytes() for g in part], pa.binary()), pa.nulls(len(part), pa.binary())], names=["bucket", "sigs", "docs", "more"])
+        at, n = _groups(lead_bucket)
+        cuts = list(zip(at.tolist(), (at + n).tolist(), strict=True))
+        for k in range(0, len(cuts), 256):
+            part = cuts[k : k + 256]
+            yield pa.RecordBatch.from_arrays([pa.array([int(lead_bucket[a]) for a, _ in part], pa.int32()), *(pa.array([f(x[a:b]) for a, b in part], pa.binary()) for f, x in ((_planes, lead_sig), (_planes, lead_id), (np.ndarray.tobytes, more)))], names=["bucket", "sigs", "docs", "more"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
@@ -246,25 +245,28 @@ def met(packed: DataFrame) -> DataFrame:
         sigs = np.concatenate([_values(x, np.uint64) for x in pdf["sigs"]])
         ids = np.concatenate([_values(x, np.int64) for x in pdf["docs"]])
         more = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["more"]])
-        order = np.argsort(sigs, kind="stable")
-        sigs = sigs[order]
+        order = np.argsort(sigs)
+        heads, sizes = _groups(sigs[order])
+        order = order[np.repeat(sizes > 1, sizes)]  # most signatures stand alone
+        order = order[np.lexsort((ids[order], sigs[order]))]
+        sigs, ids, more = sigs[order], ids[order], more[order]
         heads, sizes = _groups(sigs)
-        wide = np.flatnonzero(sizes > 1)
-        edges, lists, seen = [], [], set()
-        for g in wide.tolist():
-            own = order[heads[g] : heads[g] + sizes[g]]
-            members = np.unique(ids[own])
-            if len(members) > 1:
-                edges.append(np.stack([np.full(len(members) - 1, members[0]), members[1:]], 1))
-            marked = bool(more[own].any())
-            if marked or len(members) > 2:
-                data = members.tobytes()
-                if marked or data not in seen:
-                    seen.add(data)
-                    lists.append((sigs[heads[g]].tobytes(), data))
-        pairs = np.unique(np.concatenate(edges), axis=0) if edges else np.zeros((0, 2), np.int64)
+        marked = np.maximum.reduceat(more, heads).astype(bool) if len(heads) else np.zeros(0, bool)
+        lead = np.repeat(ids[heads], sizes)
+        edge = ids != lead
+        pairs = np.stack([lead[edge], ids[edge]], 1)
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
+        # equal lists of groups without local lists are kept once
+        marks = np.add.reduceat(mix(ids.view(U64)), heads) if len(heads) else np.zeros(0, U64)
+        _, once = np.unique(np.where(marked, np.arange(len(heads)).astype(U64), marks), return_index=True)
+        wide = once[(sizes[once] > 2) | marked[once]].tolist()
+        lists = [(sigs[heads[g]].tobytes(), np.unique(ids[heads[g] : heads[g] + sizes[g]]).tobytes()) for g in wide]
         n = len(pairs)
-        return pd.DataFrame({"a": pd.Series([*pairs[:, 0].tolist(), *[None] * len(lists)], dtype="Int64"), "b": pd.Series([*pairs[:, 1].tolist(), *[None] * len(lists)], dtype="Int64"), "sig": [*[None] * n, *(x[0] for x in lists)], "docs": [*[None] * n, *(x[1] for x in lists)]})
+        columns = {"a": pd.array(np.append(pairs[:, 0], np.zeros(len(lists), np.int64)), "Int64"), "b": pd.array(np.append(pairs[:, 1], np.zeros(len(lists), np.int64)), "Int64")}
+        for c in columns.values():
+            c[n:] = None
+        return pd.DataFrame(columns | {"sig": [*[None] * n, *(x[0] for x in lists)], "docs": [*[None] * n, *(x[1] for x in lists)]})
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
