@@ -17,7 +17,7 @@ TYPES = {
 
 
 def scan(spark: SparkSession, directory: str, allowed: list[str] | None = None) -> DataFrame:
-    """(key, content) of a directory's files. With `allowed`, just these keys, all of which must be there."""
+    """(key, content) of a directory's files; Spark lists no empty ones. With `allowed`, just these keys, all of which must be there."""
     base = directory.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
     found = files.select(F.substring_index("path", base, -1).alias("key"), "content")
