@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
+#: Spark's setting that drops an execution's shuffle files when it ends
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -32,13 +34,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage.
 
     A lost executor then costs a read, not a recomputation. The folder is removed when the
-    application ends. Shuffle files that only df needed become free at the garbage
-    collection that follows.
+    application ends, the write's shuffle files at its end.
     """
     spark = df.sparkSession
     path = f"{work_dir(spark)}/phraseloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

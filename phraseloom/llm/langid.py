@@ -163,6 +163,8 @@ def viterbi(scores: np.ndarray, rows: np.ndarray, n_rows: int, switch: float) ->
 
 def detect(model: Model, texts: list[str | None], switch: float = SWITCH) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
     """Language, score and spans (start, end, language; in code points of the lower-cased text)."""
+    if not model.languages:
+        return [("und", 0.0, []) for _ in texts]
     points, starts, ends, rows = words_of(texts)
     scores = word_scores(model, points, starts, ends)
     labels = viterbi(scores, rows, len(texts), switch)

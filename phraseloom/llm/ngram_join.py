@@ -330,7 +330,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = materialize(of_classes(found.where("a is not null").select("a", "b").distinct()), "class-edges")
     lists = found.where("a is null").select("sig", "docs", F.xxhash64("docs").alias("list"))
     wanted = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    sets = materialize(texts.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
 
     first = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(similar(first, sets), "links")
@@ -361,7 +361,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     third = materialize(third, "mixed-pairs")
     if not third.isEmpty():
         more = third.select(F.col("a").alias("doc_id")).union(third.select("b")).distinct()
-        own = texts.join(more, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "id long, shingles array<long>")
+        own = texts.join(more, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
         links = materialize(links.union(similar(third, materialize(own, "sets"))), "links")
         roots = materialize(components(links), "roots")
     forget(sets)

@@ -155,8 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
     or a few times. A word enters with at least four toxic texts and odds above MIN_ODDS for
     toxic texts whose log-likelihood ratio exceeds MIN_SURE; its weight is the log of the odds. A word
     pair around a lexicon word is an exception if clean texts hold it and toxic texts don't
-    more often. Without labels of either kind nothing is learned and all scores are 0.5 or
-    the share that the labels have.
+    more often. Without labels of both kinds nothing is learned and all scores are near 0.
     """
     sample = materialize(sample_of(docs, labels, max_rows), "toxic-sample")
     sizes = {int(r["toxic"]): int(r["n"]) for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -187,9 +186,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
 
 
 def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
-    """Newton's method with a small ridge; without rows, zeros."""
-    if not len(y):
-        return (0.0, 0.0, 0.0, 0.0)
+    """Newton's method with a small ridge; without rows of both kinds, a function that is near 0 everywhere."""
+    if not len(y) or y.min() == y.max():
+        return (-30.0, 0.0, 0.0, 0.0)
     a = np.hstack([np.ones((len(x), 1)), x])
     w = np.zeros(4)
     ridge = np.diag([1e-3, 0.05, 0.05, 0.05])
