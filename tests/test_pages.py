@@ -140,7 +140,7 @@ def test_release_files(spark, tmp_path):
     assert tuple(files.totals(files.manifest(found)).first()) == (3, 4)
     with pytest.raises(FileNotFoundError):
         files.scan(spark, str(tmp_path), ["none.js"])
-    (tmp_path / "c.exe").write_bytes(b"")
+    (tmp_path / "c.exe").write_bytes(b"x")
     with pytest.raises(Exception, match="unexpected file"):
         files.checked(files.scan(spark, str(tmp_path))).collect()
 
