@@ -126,8 +126,10 @@ def _word_rows(batches: Iterator[pa.RecordBatch], around: frozenset[str] | None
             own = set(found)
             if not own:
                 continue
-            hashes = np.array([zlib.crc32(w.encode()) for w in own], U64)
-            ends = [int(mix(hashes + U64((k + 1) << 33)).min() >> U64(1)) for k in range(3)]
+            hashes = np.array([zlib.crc32(w.encode()) for w in found], U64)
+            if len(hashes) > 2:
+                hashes = mix(mix(mix(hashes[:-2]) + hashes[1:-1]) + hashes[2:])  # of three words in a row
+            ends = [int(mix(hashes + U64(k + 1)).min() >> U64(1)) for k in range(3)]
             if around is not None:
                 own = {f"{a} {b}" for a, b in zip(found, found[1:], strict=False) if a in around or b in around}
             else:
