@@ -30,7 +30,9 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
-P = T.han_projection(F.col("text"))
+def _projected():
+    return T.han_projection(F.col("text"))
+
 _E = "，。！？；…、\\n\\r\\x0B\\f\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}"
 _PROJ = f"translate(lower(text), '{T.PLAIN}', '{T.PROJECTED}')"
 _CLAUSES = f"(SELECT doc_id, lang, unnest(regexp_extract_all({_PROJ}, '[^{_E}]*[{_E}]+|[^{_E}]+')) AS clause, unnest(range(len(regexp_extract_all({_PROJ}, '[^{_E}]*[{_E}]+|[^{_E}]+')))) AS i FROM documents)"
@@ -57,13 +59,13 @@ def query(sql: str | None = None):
 
 @query(f"SELECT lang, count(*) AS clauses, sum({_units('clause')})::BIGINT AS units, count(*) FILTER (WHERE {_units('clause')} >= 13) AS long_clauses FROM {_CLAUSES} GROUP BY lang")
 def clause_stats_by_lang(spark, sf_dir):
-    rows = S.clauses(_docs(spark, sf_dir), P, ["lang"]).withColumn("units", T.visual_length(F.col("clause")))
+    rows = S.clauses(_docs(spark, sf_dir), _projected(), ["lang"]).withColumn("units", T.visual_length(F.col("clause")))
     return rows.groupBy("lang").agg(F.count("*").alias("clauses"), F.sum("units").alias("units"), F.count(F.when(F.col("units") >= N.MIN_UNITS, 1)).alias("long_clauses"))
 
 
 @query(f"SELECT doc_id, i, md5(clause) AS clause_md5, length(clause)::BIGINT AS n FROM {_CLAUSES}")
 def clause_split(spark, sf_dir):
-    return S.clauses(_docs(spark, sf_dir), P, ["doc_id"]).select("doc_id", F.col("i").cast("long"), F.md5("clause").alias("clause_md5"), F.length("clause").cast("long").alias("n"))
+    return S.clauses(_docs(spark, sf_dir), _projected(), ["doc_id"]).select("doc_id", F.col("i").cast("long"), F.md5("clause").alias("clause_md5"), F.length("clause").cast("long").alias("n"))
 
 
 @query(f"SELECT doc_id, len(regexp_extract_all(text, '[^{_E}]*[{_E}]+|[^{_E}]+'))::BIGINT AS clauses, {_units('text')}::BIGINT AS units FROM documents")
@@ -73,12 +75,12 @@ def visual_length_plain(spark, sf_dir):
 
 @query(f"SELECT doc_id, i, {_units('clause')}::BIGINT AS units FROM {_CLAUSES} WHERE {_units('clause')} >= 13")
 def length_gate(spark, sf_dir):
-    return S.gated(S.clauses(_docs(spark, sf_dir), P, ["doc_id"])).select("doc_id", F.col("i").cast("long"), F.col("units").cast("long"))
+    return S.gated(S.clauses(_docs(spark, sf_dir), _projected(), ["doc_id"])).select("doc_id", F.col("i").cast("long"), F.col("units").cast("long"))
 
 
 @query(f"SELECT doc_id, i, (sum(length(clause)) OVER w - length(clause))::BIGINT AS start, (sum(length(clause)) OVER w)::BIGINT AS \"end\" FROM {_CLAUSES} WINDOW w AS (PARTITION BY doc_id ORDER BY i)")
 def clause_offsets(spark, sf_dir):
-    return S.clause_offsets(S.clauses(_docs(spark, sf_dir), P, ["doc_id"]), "doc_id").select("doc_id", F.col("i").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"))
+    return S.clause_offsets(S.clauses(_docs(spark, sf_dir), _projected(), ["doc_id"]), "doc_id").select("doc_id", F.col("i").cast("long"), F.col("start").cast("long"), F.col("end").cast("long"))
 
 
 @query("SELECT doc_id, (length(text || '😀') + 1)::BIGINT AS units, contains(translate(text, 'e', '中'), '中') AS has_han FROM documents")
@@ -88,13 +90,13 @@ def utf16_lengths(spark, sf_dir):
 
 @query(f"SELECT doc_id, len(list_filter(range(1, length(t) + 1), lambda k: regexp_matches(substring(t, k, 1), '[，。！？；…\\n\\r\\x0B\\f]')))::BIGINT AS n, coalesce(list_sum(list_filter(range(1, length(t) + 1), lambda k: regexp_matches(substring(t, k, 1), '[，。！？；…\\n\\r\\x0B\\f]'))) - len(list_filter(range(1, length(t) + 1), lambda k: regexp_matches(substring(t, k, 1), '[，。！？；…\\n\\r\\x0B\\f]'))), 0)::BIGINT AS total FROM (SELECT item_id AS doc_id, {_PROJ} AS t FROM benchmark)")
 def boundary_offsets(spark, sf_dir):
-    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.boundary_offsets(P).alias("at"))
+    rows = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), T.boundary_offsets(_projected()).alias("at"))
     return rows.select("doc_id", F.size("at").cast("long").alias("n"), F.aggregate("at", F.lit(0), lambda a, x: a + x).cast("long").alias("total"))
 
 
 @query(f"SELECT item_id, len(list_filter(range(1, length(t)), lambda k: regexp_matches(substring(t, k, 1), '\\p{{Han}}') AND regexp_matches(substring(t, k + 1, 1), '\\p{{Han}}')))::BIGINT AS n FROM (SELECT item_id, {_PROJ} AS t FROM benchmark)")
 def han_adjacency(spark, sf_dir):
-    return _table(spark, sf_dir, "benchmark").select("item_id", F.size(T.adjacent_han(P)).cast("long").alias("n"))
+    return _table(spark, sf_dir, "benchmark").select("item_id", F.size(T.adjacent_han(_projected())).cast("long").alias("n"))
 
 
 _HANS = f"(SELECT doc_id, i, clause FROM {_CLAUSES.replace(_PROJ, f'replace({_PROJ}, chr(32), chr(0))'.replace('chr(0)', chr(39) * 2))} WHERE regexp_full_match(clause, '\\p{{Han}}{{13,}}[^\\p{{Han}}]?'))"
@@ -102,7 +104,7 @@ _LETTERS = "(SELECT doc_id, i, list_transform(range(1, length(clause)), lambda k
 
 
 def _long_clauses(spark, sf_dir, keep=("doc_id",)):
-    rows = S.clauses(_docs(spark, sf_dir), P, list(keep))
+    rows = S.clauses(_docs(spark, sf_dir), _projected(), list(keep))
     return rows.where(F.length("clause").between(13, 400)).withColumn("scores", S.letter_scores(F.col("clause")))
 
 
@@ -131,13 +133,13 @@ def model_windows(spark, sf_dir):
 @query(f"SELECT doc_id, count(*) AS clauses, sum(length(regexp_replace(clause, '[^\\p{{Han}}]', '', 'g')) - 12)::BIGINT AS cuts FROM {_HANS} GROUP BY doc_id")
 def uniform_split(spark, sf_dir):
     """All gaps alike and no threshold: a cut after each letter while 13 units stay. By the chunker itself."""
-    rows = S.clauses(_docs(spark, sf_dir), F.replace(P, F.lit(" "), F.lit("")), ["doc_id"]).where(F.col("clause").rlike(rf"\A{T.HAN}{{13,}}[^{T.HAN}]?\z"))
+    rows = S.clauses(_docs(spark, sf_dir), F.replace(_projected(), F.lit(" "), F.lit("")), ["doc_id"]).where(F.col("clause").rlike(rf"\A{T.HAN}{{13,}}[^{T.HAN}]?\z"))
     cut = segment(rows, Uniform(), text="clause", keep=["doc_id"], options=Options(min_confidence=0, strategy="fixed"))
     return cut.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.sum(F.size("offsets")).alias("cuts"))
 
 
 def _segmented(spark, sf_dir, scorer, options, name="benchmark", key="item_id"):
-    rows = segment(_table(spark, sf_dir, name).select(key, P.alias("text")), scorer, keep=[key], options=options)
+    rows = segment(_table(spark, sf_dir, name).select(key, _projected().alias("text")), scorer, keep=[key], options=options)
     parts = F.transform("chunks", lambda c: c["text"])
     return rows.select(key, F.size("chunks").cast("long").alias("chunks"), F.size("offsets").cast("long").alias("cuts"), F.array_join(parts, "").alias("joined"), F.array_join(parts, T.DIVIDER).alias("marked"))
 
@@ -170,7 +172,7 @@ def network_info(spark, sf_dir):
 
 @query(f"SELECT doc_id, count(*) AS tokens, sum(coalesce(v.id, 0))::BIGINT AS ids FROM (SELECT doc_id, unnest(string_split({_PROJ}, '')) AS token FROM (SELECT item_id AS doc_id, text FROM benchmark)) t LEFT JOIN (SELECT unnest(string_split('{T.PROJECTED}', '')) AS token, unnest(range(1, {len(T.PROJECTED) + 1})) AS id) v USING (token) GROUP BY doc_id")
 def vocabulary_ids(spark, sf_dir):
-    tokens = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.explode(F.split(P, "")).alias("token"))
+    tokens = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.explode(F.split(_projected(), "")).alias("token"))
     vocabulary = spark.createDataFrame([(c, k + 1) for k, c in enumerate(T.PROJECTED)], "token string, id int")
     return tokens.join(vocabulary, "token", "left").groupBy("doc_id").agg(F.count("*").alias("tokens"), F.sum(F.coalesce("id", F.lit(0))).alias("ids"))
 
@@ -312,7 +314,7 @@ def size_changes(spark, sf_dir):
 @query(f"SELECT doc_id, (doc_id % 7 = 0) OR (doc_id % 3 <> 0 AND regexp_matches({_PROJ}, '\\p{{Han}}') AND doc_id % 2 = 0) AS relevant FROM documents")
 def mutation_relevance(spark, sf_dir):
     key = F.col("doc_id")
-    old = F.when(key % 2 == 0, P).otherwise(F.lit("1, 2"))
+    old = F.when(key % 2 == 0, _projected()).otherwise(F.lit("1, 2"))
     return _docs(spark, sf_dir).select("doc_id", refresh.relevant(old, F.lit("3"), key % 3 == 0, F.lit(False), key % 7 == 0).alias("relevant"))
 
 
@@ -358,7 +360,7 @@ def projections(spark, sf_dir):
 
 @query(f"SELECT item_id, replace(m, '｜', '<span class=\"divider\" aria-hidden=\"true\"></span>') AS html FROM (SELECT item_id, CASE WHEN length(text) > 20 THEN substring(text, 1, 7) || '｜' || substring(text, 8, 13) || '｜' || substring(text, 21) ELSE text END AS m FROM (SELECT item_id, {_PROJ} AS text FROM benchmark))")
 def marked_html(spark, sf_dir):
-    rows = _table(spark, sf_dir, "benchmark").select("item_id", P.alias("t"))
+    rows = _table(spark, sf_dir, "benchmark").select("item_id", _projected().alias("t"))
     marked = F.when(F.length("t") > 20, T.joined_at(F.col("t"), F.array(F.lit(7), F.lit(20)))).otherwise(F.col("t"))
     return rows.select("item_id", T.divider_spans(marked).alias("html"))
 
