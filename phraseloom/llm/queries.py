@@ -99,4 +99,20 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op1_ngram_join": OP1_SQL, "op8_decontamination": OP8_SQL}
+_REST = r"regexp_replace(regexp_replace(trim(coalesce(url, '')), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '')"
+_HOST = rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({_REST}, '^([^/?]*)', 1)), '^[^@]*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '')"
+_QUERY = rf"array_to_string(list_sort(list_filter(string_split(regexp_extract({_REST}, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))), '&')"
+
+OP10_SQL = rf"""
+WITH p AS (SELECT page_id AS k, html, url LIKE '%?%' AS dated, strlen(html) AS n, md5(html) AS m, ('0x' || substr(md5(url), 1, 4))::BIGINT AS again,
+  {_HOST} || regexp_replace(regexp_extract({_REST}, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END AS c FROM pages),
+v AS (SELECT a.k, a.c, a.again, a.dated, a.m, max_by(b.k, b.k) AS r FROM p a LEFT JOIN p b ON a.c = b.c AND b.k < a.again GROUP BY ALL),
+j AS (SELECT v.*, b.n, b.html, CASE WHEN v.r IS NULL THEN 'unresolved' WHEN v.dated AND b.dated AND v.k = b.k OR NOT v.dated AND NOT b.dated AND v.m = b.m THEN 'resolved' ELSE 'mismatch' END AS status FROM v LEFT JOIN p b ON v.r = b.k)
+SELECT 'r:' || k AS record_id, c AS canonical_url, k AS seconds, 'full' AS status, NULL::VARCHAR AS refers_to, sha256(html) AS body_sha256, n::BIGINT AS body_bytes,
+  md5('cache-control=max-age=60;content-length=' || n || ';content-type=text/html;' || CASE WHEN dated THEN 'last-modified=v' || k ELSE 'etag="' || m || '"' END) AS headers_md5 FROM p
+UNION ALL
+SELECT 'v:' || k, c, again, status, 'r:' || r, CASE WHEN status = 'resolved' THEN sha256(html) END, CASE WHEN status = 'resolved' THEN n END::BIGINT,
+  md5('cache-control=max-age=' || k % 7 || ';content-length=' || CASE WHEN status = 'resolved' THEN n || ';content-type=text/html' ELSE '0' END || ';' || CASE WHEN dated THEN 'last-modified=v' || k ELSE 'etag=W/"' || m || '"' END) FROM j
+"""
+
+ORACLES = {"op1_ngram_join": OP1_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
