@@ -115,3 +115,15 @@ def marked_copy(source: str, mark: Callable[[str], str]) -> str:
 def scan_copy(spark: SparkSession, path: str) -> DataFrame:
     """(path, source) of text files, each whole."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("source"))
+
+
+def release_url(url: Column, placeholder: str = "example.com") -> Column:
+    """Whether an address may be released: https, with a host that is no placeholder."""
+    host = F.lower(F.regexp_extract(url, r"^https://([^/?#:]+)", 1))
+    return F.coalesce((host != "") & (host != placeholder) & ~host.endswith("." + placeholder), F.lit(False))
+
+
+def checked_pages(pages: DataFrame, opted_out: Column, placeholder: str = "example.com") -> DataFrame:
+    """Built pages (key, html); an error for one without the opt-out or with a placeholder address."""
+    bad = ~opted_out | F.col("html").contains(f"https://{placeholder}")
+    return pages.where(F.when(bad, F.raise_error(F.concat(F.lit("not fit for release: "), F.col("key"))).cast("boolean")).otherwise(F.lit(True)))

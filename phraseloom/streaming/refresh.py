@@ -190,3 +190,16 @@ def run_once(snapshot: Callable[[], DataFrame], process: Callable[[DataFrame], D
         clear()
         return str(failure)
     return None
+
+
+MESSAGES = ("ping", "toggle", "process", "state")
+
+
+def accepted(messages: DataFrame, own_id: str, types: tuple[str, ...] = MESSAGES) -> DataFrame:
+    """Messages (sender_id, frame_id, type) from the engine itself, of a page's main frame and a known type."""
+    return messages.where((F.col("sender_id") == own_id) & (F.coalesce("frame_id", F.lit(0)) == 0) & F.col("type").isin(*types))
+
+
+def page_status(tabs: DataFrame, states: DataFrame) -> DataFrame:
+    """Each tab with its reader's state; null where no reader answers."""
+    return tabs.join(states.select("page_id", "enabled", "busy", "error"), "page_id", "left")

@@ -151,3 +151,32 @@ def test_marked_copy():
     for bad in ("x", source.replace("'ab'", '"ab"'), source.replace("p1", "<b>"), source.replace("reader-demo >}}\np1", "reader-demo }}\np1")):
         with pytest.raises(ValueError):
             files.marked_copy(bad, str.upper)
+
+
+def test_messages_and_release_checks(spark):
+    m = spark.createDataFrame([("me", 0, "ping"), ("me", 1, "ping"), ("x", 0, "ping"), ("me", None, "toggle"), ("me", 0, "other")], "sender_id string, frame_id int, type string")
+    assert sorted(r["type"] for r in R.accepted(m, "me").collect()) == ["ping", "toggle"]
+    urls = {"https://real.site/": True, "http://real.site/": False, "https://example.com/": False, None: False}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", files.release_url(F.col("u")).alias("ok")).collect()
+    assert {r["u"]: r["ok"] for r in got} == urls
+    page = '<meta name="phraseloom" content="off">'
+    df = spark.createDataFrame([("a", page)], "key string, html string")
+    assert files.checked_pages(df, dom.opted_out(F.col("html"))).count() == 1
+    with pytest.raises(Exception, match="not fit"):
+        files.checked_pages(spark.createDataFrame([("b", "x")], "key string, html string"), dom.opted_out(F.col("html"))).collect()
+
+
+def test_debounced_stream_and_registry(spark, tmp_path):
+    rows = spark.sql("SELECT timestamp_millis(t) AS ts, 1L AS page_id, CAST(t % 3 AS long) AS node_id, 'a' AS text, 9L AS parent_id FROM VALUES (0), (100), (300), (10000), (900000) AS v(t)")
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+
+    def drain(df, name):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").option("checkpointLocation", str(tmp_path / name)).start()
+        q.processAllAvailable()
+        q.stop()
+        return spark.table(name).collect()
+
+    assert [r["changes"] for r in sorted(drain(R.debounced(stream().withWatermark("ts", "1 second")), "quiet"), key=lambda r: r["first"])] == [2, 1, 1]
+    assert sorted(r["changes"] for r in R.debounced(rows).collect()) == [1, 1, 1, 2]
+    assert len(drain(R.newly_seen(stream(), "1 day"), "seen")) == 2
