@@ -27,7 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -280,12 +280,21 @@ def met(packed: DataFrame) -> DataFrame:
     return across.union(packed.where("bucket < 0").select("sigs", "docs").mapInArrow(local, MET))
 
 
+BITS = 1024
+SETS = "id long, n long, bits array<long>, shingles array<long>"
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles, their number, and a bit map: bit h modulo BITS is set for each shingle h."""
     for batch in runs(batches, "text", 1 << 20):
         sets = list(shingle_sets(batch.column("text")))
         ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        flat = np.concatenate(sets).view(np.int64) if len(sets) else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["id", "shingles"])
+        flat = np.concatenate(sets) if len(sets) else np.zeros(0, U64)
+        maps = np.zeros((len(sets), BITS), bool)
+        maps[np.repeat(np.arange(len(sets)), np.diff(ends)), (flat % U64(BITS)).astype(np.int64)] = True
+        words = np.packbits(maps, axis=1).view(np.int64).ravel()
+        places = np.arange(len(sets) + 1) * (BITS // 64)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(words)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "n", "bits", "shingles"])
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +305,39 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("list"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["sig", "list", "members"])
 
 
+def likely(edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """The edges (a, b) that the bit maps allow, with the size of both sets.
+
+    A bit that only one map has stands for a shingle that only one set has; so the maps bound
+    the common shingles from above, and no similar pair is lost.
+    """
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"m{k}"))
+    both = edges.join(side("b"), "b").join(side("a"), "a")
+    missing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, c: s + c)
+    most = F.least(F.col("na") - missing("ma", "mb"), F.col("nb") - missing("mb", "ma"))
+    p, q = NEED
+    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("size"), most.alias("most")).where(F.col("most") * q >= (F.col("size") - F.col("most")) * p).select("a", "b", "size").distinct()
+
+
 def similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a, b) whose sets are similar."""
-    with_b = edges.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    common = F.size(F.array_intersect("sa", "sb"))
+    """The edges (a, b) whose sets are similar.
+
+    Sets meet in rounds, each of about as many shingles as the table of sets holds, so that
+    what a round shuffles does not grow with the number of edges.
+    """
+    found = materialize(likely(edges, sets), "likely")
+    held = int(sets.agg(F.sum("n")).first()[0] or 0)
+    rounds = max(1, -(-int(found.agg(F.sum("size")).first()[0] or 0) // max(held, 1)))
     p, q = NEED
-    return both.select("a", "b", (common * q >= (F.size("sa") + F.size("sb") - common) * p).alias("ok")).where("ok").select("a", "b")
+    parts = []
+    for k in range(rounds):
+        part = found.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k).select("a", "b")
+        with_b = part.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+        both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
+        common = F.size(F.array_intersect("sa", "sb"))
+        checked = both.select("a", "b", (common * q >= (F.size("sa") + F.size("sb") - common) * p).alias("ok")).where("ok").select("a", "b")
+        parts.append(materialize(checked, "similar"))
+    return reduce(DataFrame.union, parts)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -330,7 +365,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     edges = materialize(of_classes(found.where("a is not null").select("a", "b").distinct()), "class-edges")
     lists = found.where("a is null").select("sig", "docs", F.xxhash64("docs").alias("list"))
     wanted = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, SETS), "sets")
 
     first = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = materialize(similar(first, sets), "links")
@@ -361,7 +396,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     third = materialize(third, "mixed-pairs")
     if not third.isEmpty():
         more = third.select(F.col("a").alias("doc_id")).union(third.select("b")).distinct()
-        own = texts.join(more, "doc_id", "left_semi").mapInArrow(_sets, "id long, shingles array<long>")
+        own = texts.join(more, "doc_id", "left_semi").mapInArrow(_sets, SETS)
         links = materialize(links.union(similar(third, materialize(own, "sets"))), "links")
         roots = materialize(components(links), "roots")
     forget(sets)
