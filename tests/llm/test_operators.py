@@ -320,8 +320,9 @@ def test_secret_decoding_by_hand():
 def test_secrets(spark):
     rng = random.Random(6)
     token = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
-    rows = [(k, phrase(rng, 30) + f' token = "{token(40)}" ' + phrase(rng, 30)) for k in range(60)] + [(k, phrase(rng, 60)) for k in range(60, 90)]
-    odd = 'credential = "' + token(38, "0123456789abcdefABCDEFXYZ") + '" '
+    mixed = "0123456789abcdefABCDEFXYZ"
+    rows = [(k, phrase(rng, 30) + f' {rng.choice(["token", "api_key", "secret", "Password"])} = "{token(40) if k % 2 else token(36, mixed)}" ' + phrase(rng, 30)) for k in range(60)] + [(k, phrase(rng, 60)) for k in range(60, 90)]
+    odd = 'credential = "' + token(38, mixed) + '" '
     rows += [(100, None), (101, ""), (102, phrase(rng, 9) + " " + odd + phrase(rng, 9)), (103, "AKIA" + "A" * 16 + " AKIAAKIA token:token\"=abcdef123 secret='12345' PASSWORD: hunter2x é"), (0, rows[0][1])]
     docs = table(spark, rows)
     model = secrets_crf.fit(docs)
