@@ -41,8 +41,8 @@ WORDS = 5
 #: The threshold as a fraction
 NEED = (3, 4)
 FREQUENT = 0.003
-BUCKET_SIGNATURES = 1_000_000
-FLUSH = 500_000
+BUCKET_SIGNATURES = 400_000
+FLUSH = 300_000
 CUTS_RARE, CUTS_ALL = 2, 6
 STEP = U64(0xD6E8FEB86659FD93)
 
