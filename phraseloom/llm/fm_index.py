@@ -8,18 +8,20 @@ merge into removal spans.
 
 Null texts have no words. Items of fewer words than a window are one window; items without
 words match nothing. Repeated rows each get a row. Benchmarks over `block_bytes` are searched
-in blocks, one pass over the documents each, so that a block's size bounds what is broadcast.
+in blocks, one pass over the documents each, so that a block's size bounds what is broadcast;
+all blocks are searched in the texts as they came, and their hits count or go together.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import lowered, materialize, passed, runs, spans_of, text_bytes, word_hashes
@@ -30,6 +32,7 @@ SHARD_SYMBOLS = 1 << 20
 SHARD_BYTES = 24 << 20
 WORD_BYTES = np.zeros(256, bool)
 WORD_BYTES[48:58] = WORD_BYTES[97:123] = WORD_BYTES[128:] = True
+WORD = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -181,7 +184,8 @@ def queries_of(items: list[tuple[str, str | None]], window: int) -> Queries:
 class _Shard:
     """Documents gathered for one index."""
 
-    def __init__(self, queries: Queries) -> None:
+    def __init__(self, queries: Queries, key: str = "doc_id", kind: pa.DataType = pa.int64()) -> None:
+        self.key, self.kind = key, kind
         self.q, self.shortest = queries, int(queries.sizes.min(initial=WINDOW)) if len(queries.sizes) else 1 << 60
         self.clear()
 
@@ -196,7 +200,7 @@ class _Shard:
         rows = np.searchsorted(offsets, starts, "right") - 1
         counts = np.bincount(rows, minlength=batch.num_rows)
         base = len(self.ids)
-        self.ids += batch.column("doc_id").to_pylist()
+        self.ids += batch.column(self.key).to_pylist()
         self.words += counts.tolist()
         self.texts.append(column)
         self.bytes += len(data)
@@ -261,7 +265,7 @@ class _Shard:
                 spans[of].append({"start": len(raw[:x].decode()), "end": len(raw[:y].decode())})
             del text
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([pa.array(self.ids, pa.int64()), pa.array(self.words, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, kind)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids, self.kind), pa.array(self.words, pa.int64()), pa.array(hit, pa.int64()), pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())), pa.array(spans, kind)], names=[self.key, "n_words", "n_hit", "items", "spans"])
         self.clear()
 
 
@@ -327,38 +331,90 @@ def without_spans(text: str, spans: list[tuple[int, int]]) -> str:
     return " ".join(x.strip(" ") if 0 < k < len(kept) - 1 else x.rstrip(" ") if not k else x.lstrip(" ") for k, x in enumerate(kept))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 4 << 20) -> DataFrame:
-    """docs, with all their columns, without the hit words; texts of which no word is left go.
+def row_key() -> Column:
+    """Tells rows apart by doc_id and text, nulls too; rows that it does not tell apart are the same."""
+    return F.concat_ws("_", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text"), F.xxhash64(F.lit(1), F.col("text")))
 
-    Blocks of the benchmark apply in turn, each to what the ones before left.
-    """
-    for block in blocks_of(benchmark, block_bytes):
+
+def hits_in_blocks(docs: DataFrame, blocks: list[DataFrame], window: int) -> DataFrame:
+    """_key (row_key), items and spans of the rows that any block hits; spans of different blocks may overlap."""
+    parts = []
+    for block in blocks:
         rows = block.select(F.col("item_id").cast("string"), "text").collect()  # a block, of bounded size
         queries = docs.sparkSession.sparkContext.broadcast(queries_of([(r[0], r[1]) for r in rows], window))
 
-        def cleaned(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
-            shard, held = _Shard(queries.value), []
-
-            def out() -> Iterator[pa.RecordBatch]:
-                spans = [s for part in shard.result() for s in part.column("spans").to_pylist()]
-                at = 0
-                for batch in held:
-                    own = spans[at : at + batch.num_rows]
-                    at += batch.num_rows
-                    if any(own):
-                        texts = [without_spans(t, [(x["start"], x["end"]) for x in s]) if s else t for t, s in zip(batch.column("text").to_pylist(), own, strict=True)]
-                        yield passed(batch, keep=[not s or bool(t.strip()) for t, s in zip(texts, own, strict=True)], texts=texts)
-                    else:
-                        yield batch
-
+        def searched(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
+            shard = _Shard(queries.value, "_key", pa.string())
             for batch in runs(batches, "text", 2 << 20):
                 shard.add(batch)
-                held.append(batch)
                 if shard.size >= SHARD_SYMBOLS or shard.bytes >= SHARD_BYTES:
-                    yield from out()
-                    held = []
-            if held:
+                    yield from shard.result()
+            if shard.ids:
+                yield from shard.result()
+
+        hits = docs.select(row_key().alias("_key"), "text").mapInArrow(searched, SCHEMA.replace("doc_id long", "_key string"))
+        parts.append(hits.where("n_hit > 0").select("_key", "items", "spans").distinct())
+    found = materialize(reduce(DataFrame.unionByName, parts), "hits")
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_list("items"))))
+    return found.groupBy("_key").agg(items.alias("_items"), F.flatten(F.collect_list("spans")).alias("_spans"))
+
+
+def whole_runs(text: str, spans: list[dict] | None) -> list[tuple[int, int]]:
+    """The spans as those of runs of hit words: what overlaps or has no other word between becomes one."""
+    out: list[tuple[int, int]] = []
+    for start, end in sorted((x["start"], x["end"]) for x in spans or []):
+        if out and (start <= out[-1][1] or not WORD.search(text, out[-1][1], start)):
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
+
+
+def cut(batch: pa.RecordBatch, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    """The batch without the spans; rows of which no word is left go."""
+    if not any(spans):
+        return batch
+    texts = [without_spans(t, s) if s else t for t, s in zip(batch.column("text").to_pylist(), spans, strict=True)]
+    return passed(batch, keep=[not s or bool(t.strip()) for t, s in zip(texts, spans, strict=True)], texts=texts)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 4 << 20) -> DataFrame:
+    """docs, with all their columns, without the hit words; texts of which no word is left go.
+
+    With several blocks the hits of all are found in the texts as they came, and cut at once.
+    """
+    blocks = blocks_of(benchmark, block_bytes)
+    if len(blocks) > 1:
+        hits = hits_in_blocks(docs, blocks, window).drop("_items")
+        names = docs.columns
+
+        def cut_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in runs(batches, "text", 2 << 20):
+                texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
+                yield cut(batch.select(names), [whole_runs(t, s) for t, s in zip(texts, spans, strict=True)])
+
+        rows = docs.withColumn("_key", row_key()).join(hits, "_key", "left")
+        return rows.select(*names, "_spans").mapInArrow(cut_all, docs.schema)
+    rows = blocks[0].select(F.col("item_id").cast("string"), "text").collect()  # a block, of bounded size
+    queries = docs.sparkSession.sparkContext.broadcast(queries_of([(r[0], r[1]) for r in rows], window))
+
+    def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = _Shard(queries.value), []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            spans = [[(x["start"], x["end"]) for x in s] for part in shard.result() for s in part.column("spans").to_pylist()]
+            at = 0
+            for batch in held:
+                yield cut(batch, spans[at : at + batch.num_rows])
+                at += batch.num_rows
+
+        for batch in runs(batches, "text", 2 << 20):
+            shard.add(batch)
+            held.append(batch)
+            if shard.size >= SHARD_SYMBOLS or shard.bytes >= SHARD_BYTES:
                 yield from out()
+                held = []
+        if held:
+            yield from out()
 
-        docs = docs.mapInArrow(cleaned, docs.schema)
-    return docs
+    return docs.mapInArrow(cleaned, docs.schema)

@@ -176,6 +176,21 @@ def test_decontamination_in_blocks(spark):
     assert fm_index.find_hits(table(spark, rows), bench.where("item_id > 99")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_does_not_depend_on_blocks(spark):
+    rng = random.Random(12)
+    passages = [phrase(rng, 15).split() for _ in range(12)]
+    items = [(2 * k + h, " ".join(w[5 * h : 10 + 5 * h])) for k, w in enumerate(passages) for h in (0, 1)]  # two windows of a passage share words 6 to 10
+    items += [(40 + h, " ".join(f"next{h} {j}" for j in range(5))) for h in range(6)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(k, f"Before {k}, {', '.join(w)}. After") for k, w in enumerate(passages)] + [(20, " ".join(passages[0])), (21, "Left; " + "; ".join(t for i, t in items if i >= 40) + "; right"), (22, "clean text"), (23, None), (24, "")]
+    rows += [(None, rows[1][1]), (None, None), (2, rows[3][1]), rows[4]]
+    docs = table(spark, rows)
+    assert len(fm_index.blocks_of(bench, 200)) > 3
+    one, many = (sorted(map(tuple, fm_index.decontaminate(docs, bench, block_bytes=n).collect()), key=repr) for n in (4 << 20, 200))
+    assert many == one and len(one) == len(rows) - 1
+    assert {r[1] for r in many if r[0] in range(12)} == {f"Before {k}, . After" for k in range(12)}
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 255, 4080, 4081, 255 * 255, 255 * 255 + 1, 200_000])
 def test_ogg_round_trip(size):
     payload = ogg.padded(bytes(random.Random(size).randrange(256) for _ in range(size)))
