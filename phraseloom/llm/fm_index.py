@@ -283,42 +283,42 @@ def blocks_of(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_words, n_hit, items (ids as strings, sorted) and spans of hit words in code points.
 
-    One row for each row of docs. With several blocks a row's spans are merged, and rows that
-    have the same doc_id must be the same.
+    One row for each row of docs. With several blocks a row's hits are put together, and counted
+    on the spans of all.
     """
-    parts = []
-    for block in blocks_of(benchmark, block_bytes):
-        rows = block.select(F.col("item_id").cast("string"), "text").collect()  # a block, of bounded size
-        queries = docs.sparkSession.sparkContext.broadcast(queries_of([(r[0], r[1]) for r in rows], window))
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    blocks = blocks_of(benchmark, block_bytes)
+    if len(blocks) > 1:
+        rows = docs.withColumn("_key", row_key()).join(hits_in_blocks(docs, blocks, window), "_key", "left")
+        return rows.select("doc_id", "text", "_items", "_spans").mapInArrow(_counted, SCHEMA)
+    rows = blocks[0].select(F.col("item_id").cast("string"), "text").collect()  # a block, of bounded size
+    queries = docs.sparkSession.sparkContext.broadcast(queries_of([(r[0], r[1]) for r in rows], window))
 
-        def searched(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
-            shard = _Shard(queries.value)
-            for batch in runs(batches, "text", 2 << 20):
-                shard.add(batch)
-                if shard.size >= SHARD_SYMBOLS or shard.bytes >= SHARD_BYTES:
-                    yield from shard.result()
-            if shard.ids:
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = _Shard(queries.value)
+        for batch in runs(batches, "text", 2 << 20):
+            shard.add(batch)
+            if shard.size >= SHARD_SYMBOLS or shard.bytes >= SHARD_BYTES:
                 yield from shard.result()
-
-        parts.append(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(searched, SCHEMA))
-    if len(parts) == 1:
-        return parts[0]
-    return merged(parts, docs)
-
-
-def merged(parts: list[DataFrame], docs: DataFrame) -> DataFrame:
-    """Hits of several blocks together; words and spans are counted on the merged spans."""
-    found = materialize(reduce(DataFrame.unionByName, (p.where("n_hit > 0").distinct() for p in parts)), "hits")
-    every = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
-    zero = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
-    joined = F.aggregate("all", zero, lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(acc, F.array(x))))
-    every = every.select("doc_id", "items", joined.alias("spans"))
-    words = parts[0].select("doc_id", "n_words")
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(every, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    split = F.expr(r"aggregate(spans, 0L, (n, x) -> n + regexp_count(lower(substring(text, cast(x.start as int) + 1, cast(x.end - x.start as int))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'))")
-    every = every.join(texts, "doc_id").select("doc_id", split.alias("n_hit"), "items", "spans")
-    empty = F.expr("cast(array() as array<string>)")
-    return words.join(every, "doc_id", "left").select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", empty).alias("items"), F.coalesce("spans", zero).alias("spans"))
+        if shard.ids:
+            yield from shard.result()
+
+    return docs.mapInArrow(searched, SCHEMA)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA from doc_id, text, and the items and spans of all blocks."""
+    for batch in runs(batches, "text", 2 << 20):
+        data, offsets = text_bytes(batch.column("text"))
+        starts = words_in(data, offsets)[1]
+        words = np.bincount(np.searchsorted(offsets, starts, "right") - 1, minlength=batch.num_rows)
+        texts = batch.column("text").to_pylist()
+        spans = [whole_runs(t, s) for t, s in zip(texts, batch.column("_spans").to_pylist(), strict=True)]
+        hit = [sum(len(WORD.findall(t, *x)) for x in s) for t, s in zip(texts, spans, strict=True)]
+        items = [x or [] for x in batch.column("_items").to_pylist()]
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        named = [[{"start": x, "end": y} for x, y in s] for s in spans]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(words, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(named, kind)], names=["doc_id", "n_words", "n_hit", "items", "spans"])
 
 
 def without_spans(text: str, spans: list[tuple[int, int]]) -> str:

@@ -191,6 +191,17 @@ def test_decontamination_does_not_depend_on_blocks(spark):
     assert {r[1] for r in many if r[0] in range(12)} == {f"Before {k}, . After" for k in range(12)}
 
 
+def test_hits_do_not_depend_on_blocks(spark):
+    rng = random.Random(13)
+    items = [(k, phrase(rng, 14)) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(None, f"é {items[0][1]}, {items[1][1]} x"), (None, items[2][1]), (None, None), (1, items[3][1]), (1, items[4][1] + " a b c"), (1, "clean"), (2, items[5][1]), (2, items[5][1]), (3, "")]
+    docs = table(spark, rows)
+    want = sorted(((r[0], *w) for r, w in zip(rows, windows_by_hand([t for _, t in rows], [(str(i), t) for i, t in items], 10), strict=True)), key=repr)
+    one, many = (sorted(map(tuple, fm_index.find_hits(docs, bench, block_bytes=n).collect()), key=repr) for n in (4 << 20, 200))
+    assert [r[:4] for r in many] == want and many == one
+
+
 @pytest.mark.parametrize("size", [0, 1, 63, 64, 65, 255, 4080, 4081, 255 * 255, 255 * 255 + 1, 200_000])
 def test_ogg_round_trip(size):
     payload = ogg.padded(bytes(random.Random(size).randrange(256) for _ in range(size)))
