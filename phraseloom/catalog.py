@@ -103,9 +103,21 @@ _HANS = f"(SELECT doc_id, i, clause FROM {_CLAUSES.replace(_PROJ, f'replace({_PR
 _LETTERS = "(SELECT doc_id, i, list_transform(range(1, length(clause)), lambda k: ((unicode(substring(clause, k, 1)) * 31 + unicode(substring(clause, k + 1, 1)) * 17) % 97) / 4.0) AS s FROM (SELECT doc_id, i, clause FROM {c}))"
 
 
-def _long_clauses(spark, sf_dir, keep=("doc_id",)):
-    rows = S.clauses(_docs(spark, sf_dir), _projected(), list(keep))
-    return rows.where(F.length("clause").between(13, 400)).withColumn("scores", S.letter_scores(F.col("clause")))
+def _long_clauses(spark, sf_dir, keep=("doc_id",), longest=None):
+    rows = S.clauses(_docs(spark, sf_dir), _projected(), list(keep)).where(F.length("clause") >= N.MIN_UNITS)
+    if longest:
+        rows = rows.where(F.length("clause") <= longest)
+    return rows.withColumn("scores", S.letter_scores(F.col("clause")))
+
+
+def _best_gaps(rows):
+    rows = rows.withColumn("p", N.gap_probabilities(F.col("scores")))
+    return rows.select("doc_id", F.col("i").cast("long"), F.size("scores").cast("long").alias("gaps"), F.round(F.array_max("p"), 6).alias("best"), N.best_gap(F.col("scores")).cast("long").alias("at"))
+
+
+def _gated_gaps(rows):
+    rows = rows.withColumn("p", F.array_max(N.gap_probabilities(F.col("scores"))))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.count(F.when(F.col("p") > N.MIN_CONFIDENCE, 1)).alias("cut"))
 
 
 _SCORED = _LETTERS.format(c=f"{_CLAUSES} WHERE length(clause) BETWEEN 13 AND 400")
@@ -113,15 +125,25 @@ _SCORED = _LETTERS.format(c=f"{_CLAUSES} WHERE length(clause) BETWEEN 13 AND 400
 
 @query(f"SELECT doc_id, i, len(s)::BIGINT AS gaps, round(list_max(list_transform(s, lambda x: exp(x - list_max(s)))) / list_sum(list_transform(s, lambda x: exp(x - list_max(s)))), 6) AS best, (list_position(s, list_max(s)) - 1)::BIGINT AS at FROM {_SCORED}")
 def gap_softmax_argmax(spark, sf_dir):
-    """Clauses of 13 to 400 letters, as a network's windows would get them whole."""
-    rows = _long_clauses(spark, sf_dir).withColumn("p", N.gap_probabilities(F.col("scores")))
-    return rows.select("doc_id", F.col("i").cast("long"), F.size("scores").cast("long").alias("gaps"), F.round(F.array_max("p"), 6).alias("best"), N.best_gap(F.col("scores")).cast("long").alias("at"))
+    """The part that its SQL states, clauses of 13 to 400 letters; `gap_softmax_argmax_whole` has all."""
+    return _best_gaps(_long_clauses(spark, sf_dir, longest=400))
 
 
 @query(f"SELECT doc_id, count(*) AS clauses, count(*) FILTER (WHERE p > 0.45) AS cut FROM (SELECT doc_id, 1 / list_sum(list_transform(s, lambda x: exp(x - list_max(s)))) AS p FROM {_SCORED}) GROUP BY doc_id")
 def gap_gate(spark, sf_dir):
-    rows = _long_clauses(spark, sf_dir).withColumn("p", F.array_max(N.gap_probabilities(F.col("scores"))))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("clauses"), F.count(F.when(F.col("p") > N.MIN_CONFIDENCE, 1)).alias("cut"))
+    """The part that its SQL states, clauses of 13 to 400 letters; `gap_gate_whole` has all."""
+    return _gated_gaps(_long_clauses(spark, sf_dir, longest=400))
+
+
+@query()
+def gap_softmax_argmax_whole(spark, sf_dir):
+    """Clauses of 13 letters and more, of any length."""
+    return _best_gaps(_long_clauses(spark, sf_dir))
+
+
+@query()
+def gap_gate_whole(spark, sf_dir):
+    return _gated_gaps(_long_clauses(spark, sf_dir))
 
 
 @query("SELECT doc_id, n, w.cursor::BIGINT AS cursor, least(n - 1, w.cursor + step)::BIGINT AS gap_end, greatest(0, w.cursor - 16)::BIGINT AS start, least(n, least(n - 1, w.cursor + step) + 17)::BIGINT AS \"end\" FROM (SELECT doc_id, n_chars AS n, CASE WHEN n_chars <= 256 THEN n_chars - 1 ELSE 223 END AS step, unnest(range(0, n_chars - 1, greatest(CASE WHEN n_chars <= 256 THEN n_chars - 1 ELSE 223 END, 1))) AS cursor FROM documents WHERE n_chars >= 2) w")
