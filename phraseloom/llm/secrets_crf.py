@@ -29,12 +29,9 @@ ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-#: packed counts of a token: digits, a-f, lower, upper, others
-LUT = np.zeros(256, np.int64)
-LUT[48:58] += 1
-LUT[97:103] += 1 << 12
-LUT[97:123] += 1 << 24
-LUT[65:91] += 1 << 36
+#: bytes that a token's counts are of: digits, a-f, lower, upper
+CLASSES = np.zeros((4, 256), bool)
+CLASSES[0, 48:58] = CLASSES[1, 97:103] = CLASSES[2, 97:123] = CLASSES[3, 65:91] = True
 TOKEN = np.zeros(256, bool)
 TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = True
 TOKEN[[43, 45, 46, 47, 95]] = True
@@ -75,10 +72,12 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def features(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Tokens x groups: the feature of each group that a token has."""
     sums = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(LUT[data], out=sums[1:])
-    counts = sums[ends] - sums[starts]
+    counts = []
+    for own in CLASSES[::-1]:  # the sums of digits stay for the file
+        np.cumsum(own[data], out=sums[1:])
+        counts.append(sums[ends] - sums[starts])
+    upper, lower, hexa, digits = counts
     size = ends - starts
-    digits, hexa, lower, upper = (counts >> s & 0xFFF for s in (0, 12, 24, 36))
     length = np.searchsorted(LENGTHS, size, "right")
     share = np.where(digits == 0, 0, np.where(digits * 8 < size, 1, np.where(digits * 2 < size, 2, np.where(digits < size, 3, 4))))
     case = np.where(upper == 0, 0, np.where(upper == size, 3, np.where((upper == 1) & (lower > 0), 1, 2)))
@@ -102,7 +101,7 @@ def features(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np
     word[1:][same] = hashes[:-1][same].astype(np.int64)
     word[size < 6] = N_WORDS - 1  # the word before matters for long tokens only
     per_row = sums[offsets[1:]] - sums[offsets[:-1]]
-    file = np.minimum((64 * (per_row & 0xFFF)) // np.maximum(offsets[1:] - offsets[:-1], 1), N_FILE - 1)[rows]
+    file = np.minimum((64 * per_row) // np.maximum(offsets[1:] - offsets[:-1], 1), N_FILE - 1)[rows]
     own = (length, share, case, kind, length * N_KIND + kind, before, word, file, before * N_KIND + kind)
     return np.stack([x + s for x, s in zip(own, STARTS[:-1], strict=True)], 1).astype(np.int32)
 

@@ -343,6 +343,20 @@ def test_secret_decoding_by_hand():
         del model
 
 
+def test_secret_features_of_long_texts():
+    """Counts of 4,096 and more do not wrap: the file's share of digits, and the share and kind of long tokens."""
+
+    def of(text):
+        data, offsets = secrets_crf.text_bytes(pa.array([text]))
+        return (secrets_crf.features(data, offsets, *secrets_crf.tokens(data, offsets)) - secrets_crf.STARTS[:-1]).tolist()
+
+    group = {"share": 1, "upper": 2, "kind": 3, "file": 7}
+    for n in (100, 4095, 4100, 9000):
+        assert {t[group["file"]] for t in of("12 ab " * (n // 2))} == {4}
+        for text, share, upper, kind in (("7" * n, 4, 0, 0), ("a" * n, 0, 0, 1), ("z" * n, 0, 0, 2), ("Z" * n, 0, 3, 2), ("a1" * n, 3, 0, 1)):
+            assert [of(text)[0][group[k]] for k in ("share", "upper", "kind")] == [share, upper, kind]
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     token = lambda n, a="0123456789abcdef": "".join(rng.choice(a) for _ in range(n))
