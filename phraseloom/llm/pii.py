@@ -31,6 +31,8 @@ BASE = {
 }
 #: A run of word characters that holds a digit or @
 MENTION = rf"(?<!{_INSIDE})(?={_INSIDE}*?[0-9@]){_INSIDE}++"
+#: The last two words of a text, and the space after them, in its reverse
+TAIL = r"\A[\x20\n\t\r]*+[^\x20\n\t\r]*+(?:[\x20\n\t\r]++[^\x20\n\t\r]++)?"
 ROUNDS = 3
 MIN_SEEDS = 3
 ACCEPT = 0.6
@@ -64,7 +66,8 @@ def _parts(text: Column, pattern: str) -> Column:
     """Of each match: its number, the length of the text before it since the last match, the match, and two words before and after it."""
     pieces = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    words = lambda x: F.split(F.trim(F.translate(F.lower(F.right(x, F.lit(80))), "\n\t\r", "   ")), " +")
+    tail = lambda x: F.reverse(F.regexp_extract(F.reverse(x), TAIL, 0))
+    words = lambda x: F.split(F.trim(F.translate(F.lower(tail(x)), "\n\t\r", "   ")), " +")
     about = F.transform(pieces, lambda x: F.struct(F.length(x).alias("size"), words(x).alias("words")))
     at = lambda a, k: F.when(F.size(a) >= k, F.element_at(a, -k)).otherwise("")
     return F.transform(found, lambda m, i: F.struct(i.alias("i"), F.get(about, i)["size"].alias("before"), m.alias("value"), at(F.get(about, i)["words"], 1).alias("w1"), at(F.get(about, i)["words"], 2).alias("w2")))

@@ -323,6 +323,20 @@ def test_pii_base_and_contexts(spark):
     assert pii.find_personal_data(table(spark, []).where("doc_id > 0")).count() == 0
 
 
+def test_pii_words_before_a_mention_are_whole(spark):
+    """However much space pads them, and however long they are."""
+    long = "w" * 30_000
+    befores = ["", " ", "one ", "My Phone: ", "my phone:" + " " * 200, "a\tmy" + "\t\n \r" * 50 + "phone: ", f"so {long} {long} ", f"x {long}y \n", "é" * 90 + " 😀ß ", " " * 300]
+    rows = [(k, t + "+1 (201) 555-0101") for k, t in enumerate(befores)]
+    docs = pii.keyed(table(spark, rows))
+    key = {r["key"]: r["doc_id"] for r in docs.collect()}
+    got = {key[r["key"]]: (r["w2"], r["w1"]) for r in pii.mentions(docs).where("kind = 'phone'").collect()}
+    assert got == {k: tuple(["", "", *re.findall("[^ \n\t\r]+", t.lower())][-2:]) for k, t in enumerate(befores)}
+    rows = [(j, f"noise words and my {' ' * 100}phone:{' ' * 100}+1 (20{j}) 555-010{j} more") for j in range(9)] + [(20, f"so my phone:{' ' * 90}555-0177x yes")]
+    found = {r["doc_id"]: r["spans"] for r in pii.find_personal_data(table(spark, rows)).collect()}
+    assert [rows[9][1][s["start"] : s["end"]] for s in found[20]] == ["555-0177x"]
+
+
 def test_secret_decoding_by_hand():
     rng = np.random.default_rng(2)
     for _ in range(100):
