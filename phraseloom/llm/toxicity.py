@@ -150,14 +150,15 @@ def sample_of(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int = 400) -> Lexicon:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Lexicon:
     """Learns a lexicon from `labels` (doc_id, toxic), of which at most 2 * max_rows rows count.
 
     A word's count is the number of distinct texts that hold it, where near copies count once
     or a few times. A word enters with at least four toxic texts and odds above MIN_ODDS for
     toxic texts whose log-likelihood ratio exceeds MIN_SURE; its weight is the log of the odds. A word
     pair around a lexicon word is an exception if clean texts hold it and toxic texts don't
-    more often. Without labels of both kinds nothing is learned and all scores are near 0.
+    more often. All words and pairs that pass are kept; the sample bounds their number.
+    Without labels of both kinds nothing is learned and all scores are near 0.
     """
     sample = materialize(sample_of(docs, labels, max_rows), "toxic-sample")
     sizes = {int(r["toxic"]): int(r["n"]) for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -177,10 +178,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 4000, max_words: int
     exceptions: list[str] = []
     if n_pos and n_neg:
         single = scored().where((F.length("word") >= 3) & (F.col("pos") >= 4) & (F.col("odds") > math.log(MIN_ODDS)) & (F.col("sure") > MIN_SURE))
-        lexicon = {r["word"]: float(r["odds"]) for r in single.orderBy(F.desc("sure"), "word").limit(max_words).collect()}
+        lexicon = {r["word"]: float(r["odds"]) for r in single.collect()}
     if lexicon:
         pairs = scored(frozenset(lexicon)).where((F.col("neg") >= 4) & (F.col("odds") < 0))
-        exceptions = sorted(r["word"] for r in pairs.orderBy(F.desc("neg"), "word").limit(max_words).collect())
+        exceptions = sorted(r["word"] for r in pairs.collect())
     found = Lexicon(tuple(sorted(lexicon.items())), tuple(exceptions), (0.0, 0.0, 0.0, 0.0))
     rows = np.array(sample.mapInArrow(lambda b: _sample_measures(b, found), "a double, b double, c double, toxic int").toPandas(), float) if n_pos + n_neg else np.zeros((0, 4))
     forget(sample)

@@ -267,6 +267,17 @@ def test_toxicity_learns(spark):
     assert toxicity.keep_clean(docs, nothing).count() == 243
 
 
+def test_toxicity_keeps_all_words_that_pass(spark):
+    """Of 150 long toxic words, with three starts each, none is left out."""
+    rng = random.Random(21)
+    words = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}qxzvkword" for k in range(150)]
+    toxic = [(k, phrase(rng, 30) + " " + " ".join(rng.sample(words, 60)) + " " + phrase(rng, 9)) for k in range(150)]
+    rows = toxic + [(200 + k, phrase(rng, 60)) for k in range(150)]
+    labels = spark.createDataFrame([(i, int(i < 200)) for i, _ in rows], "doc_id long, toxic int")
+    lexicon = toxicity.fit(table(spark, rows), labels)
+    assert set(words) <= {w for w, _ in lexicon.words} and len(lexicon.words) >= 600
+
+
 def test_viterbi_by_hand():
     rng = np.random.default_rng(4)
     for _ in range(60):
