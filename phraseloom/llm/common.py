@@ -97,6 +97,30 @@ def runs(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator
             at = to
 
 
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple[int, ...], pa.RecordBatch]]:
+    """The groups of equal keys (integers) of batches that are sorted by them."""
+    held: list[pa.RecordBatch] = []
+    last: tuple[int, ...] | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(k).to_numpy() for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for v in values:
+            new[1:] |= v[1:] != v[:-1]
+        heads = [*np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            key = tuple(int(v[a]) for v in values)
+            if held and key != last:
+                yield last, pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.concat_batches(held)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """The finalizer of splitmix64: every bit of the input reaches every bit of the output."""
     x = x ^ (x >> U64(30))

@@ -1,31 +1,43 @@
 """N-gram Jaccard self-join by PartEnum signatures, and the groups that its links make.
 
 Sets of word shingles fall into bands of sizes; a set joins its own band and the next, so any
-two sets that may be similar meet in the larger one's band. A band of sets up to r shingles has
-a largest symmetric difference k of similar sets. The feature domain is cut into n1 > k parts by
-a hash: similar sets agree in at least n1 - k parts, so each part's content is a signature (the
-subsets of one part at two levels). Sets that agree in an empty part share nothing, so empty
-parts give no signature; a set with more than k parts in use agrees with any similar set in one
-that is in use. A set with fewer repeats with other cuts until one suits; both sets of a pair
-that suit none share a signature of their band. So no similar pair is missed.
-
-Shingles of many documents (common lines) would put unlike sets together. Signatures therefore
-leave out shingles that FREQUENT of all documents have; a set that keeps too few others for a
-cut to suit adds signatures over all its shingles, and the same argument holds in either domain.
-
-Groups of sets with a common signature need not compare all pairs. First each set is compared
-with the smallest of its groups, then what still links different components, then pairs of
-different components in groups that still hold several. Exact Jaccard decides each.
+two sets that may be similar meet in the larger one's band. A band has a largest symmetric
+difference k of similar sets. PartEnum at two levels: a hash cuts the feature domain into N1
+parts, each into N2 = 4 smaller ones. Of the N1 parts one holds at most one of k < 2 * N1
+differences, so in it three of the four smaller parts agree: each part enumerates its subsets of
+three, and what a set has in such a subset is a signature. Empty subsets give none. To spoil all
+signatures of a part takes two differences where a set has features in two or more of its smaller
+parts, one where it has them in one, none where it has none; a set whose parts take more than k
+in sum shares a signature with any similar set. A set whose parts take fewer adds other cuts
+until one suits, and its single shingles if none does: of two similar sets both have the cut that
+suits the first of them, so no similar pair is missed.
+
+What comes before lessens the sets, not the links:
+
+- A shingle that a single document has is in no other set. Sets of which less than the threshold
+  is found elsewhere have no partner. Shingles are dealt by hash and counted, of all documents
+  first and then of the classes (texts that are equal as sets) that are left.
+- Shingles that FREQUENT of all documents have would put unlike sets together. Cuts of what is
+  left without them come first, and the same argument holds in that domain.
+
+Of the sets with one signature the smallest doc_id is the lead. All pairs with a lead are
+verified, and what the links reach is a component. Two similar sets that share no component yet
+are both beside one lead: the sets beside a lead in several components are compared by bit maps,
+in blocks of bounded bytes, and pairs that the maps allow are verified, the likeliest of two
+components first. No pairs are rows before the maps have allowed them.
+
+Shingles are 64-bit hashes; at 10 ** 12 distinct shingles some 30,000 pairs of them collide, of
+which a link is changed only where sets differ by one shingle from the threshold.
 
 Texts that are the same as sets are one class from the start. Null, empty and blank texts have
 0 shingles, link with nothing and are their own component. Rows with a null doc_id get a null
-component. Rows with the same doc_id are one node; each gets a row.
+component. Rows with the same doc_id are one node, which has the links of all their texts; each
+gets a row. An empty table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from functools import lru_cache, reduce
 
@@ -34,17 +46,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, U64, forget, lowered, materialize, mix, runs, spans_of, text_bytes, word_hashes
+from .common import SPACE, U64, forget, grouped, lowered, materialize, mix, runs, spans_of, text_bytes, word_hashes
 from .components import components
 
 WORDS = 5
 #: The threshold as a fraction
 NEED = (3, 4)
 FREQUENT = 0.003
-BUCKET_SIGNATURES = 400_000
-FLUSH = 300_000
-CUTS_RARE, CUTS_ALL = 2, 6
+#: Smaller parts of a part
+N2 = 4
+BUCKET_ENTRIES = 2_000_000
+FLUSH = 500_000
+BLOCK_BYTES = 4 << 20
+CUTS_RARE, CUTS_ALL = 2, 3
 STEP = U64(0xD6E8FEB86659FD93)
+LOW = U64(0xFFFFFFFF)
 
 
 def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -75,332 +91,373 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[np.ndarray]:
 
 @lru_cache
 def bands() -> tuple[list[int], list[int], list[int]]:
-    """Of each band: the smallest size, the largest difference k of similar sets, and the number of parts."""
-    lows, ks, parts = [], [], []
-    low, before = 1, 1
+    """Of each band: the smallest size, the largest difference k of similar sets, and the number of parts, more than (k + 1) / 2."""
+    lows, ks = [], []
+    low = 1
     p, q = NEED
     while low < 1 << 40:
         high = low * q // p
-        k = max(t - 2 * -(-p * t // (p + q)) for t in range(max(2, 2 * high - 20), 2 * high + 1))
-        k = max(k, 0)
-        n = k + 1
-        if k:
-            # parts in use of a set of the smallest size: mean less two deviations at least k + 1
-            while n < 4 * before + 8:
-                empty = math.exp(before * math.log1p(-1 / n)) if n > 1 else 0.0
-                spread = math.sqrt(max(0.0, n * (empty - empty**2 * (1 + before / n))))
-                if n * (1 - empty) - 2 * spread >= k + 1:
-                    break
-                n += max(1, n // 64)
         lows.append(low)
-        ks.append(k)
-        parts.append(n)
-        before, low = low, high + 1
-    return lows, ks, parts
+        ks.append(max(0, *(t - 2 * -(-p * t // (p + q)) for t in range(max(2, 2 * high - 20), 2 * high + 1))))
+        low = high + 1
+    return lows, ks, [-(-14 * (k + 1) // 25) for k in ks]
 
 
 def _cut(h: np.ndarray, n: int, tag: int, out: list[np.ndarray]) -> int:
-    """Adds the signatures of one cut of the domain into n parts; how many parts are in use."""
-    if not len(h):
-        return 0
-    part = (h >> U64(32)) * U64(n) >> U64(32)
-    heads = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1])
-    sums = np.add.reduceat(mix(h + U64(0x632BE59BD9B4E019)), heads)
-    out.append(mix(sums + mix(part[heads] + U64(tag << 32))))
-    return len(heads)
-
-
-def signatures(h: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """All signatures of a set, given as ascending hashes."""
+    """Adds the signatures of one cut of the domain into n parts; how many differences it takes to spoil all."""
+    place = ((h >> U64(32)) * U64(n * N2)) >> U64(32)
+    heads = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
+    at = place[heads].astype(np.int64)
+    part, which = np.unique(at // N2, return_inverse=True)
+    sums = np.zeros((len(part), N2), U64)
+    used = np.zeros((len(part), N2), bool)
+    sums[which, at % N2] = np.add.reduceat(mix(h + U64(0x632BE59BD9B4E019)), heads)
+    used[which, at % N2] = True
+    n_used = used.sum(1)
+    # each subset leaves one smaller part out
+    subset = mix(sums.sum(1, keepdims=True) - sums + mix(U64(tag << 44) + (part[:, None] * N2 + np.arange(N2)).astype(U64)))
+    out.append(subset[n_used[:, None] - used > 0])
+    return int(np.minimum(n_used, 2).sum())
+
+
+def truncated(h: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """A shingle's bucket and its last 32 bits."""
+    return ((h >> U64(32)) * U64(n_buckets)) >> U64(32), (h & LOW).astype(np.uint32)
+
+
+def signatures(h: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """All signatures of a set, given as ascending hashes; rare: those that are not frequent."""
     lows, ks, parts = bands()
     own = int(np.searchsorted(lows, len(h), "right")) - 1
-    rare = h
-    if len(frequent):
-        at = np.searchsorted(frequent, h)
-        at[at == len(frequent)] = 0
-        rare = h[frequent[at] != h]
     out: list[np.ndarray] = []
     for band in (own, own + 1):
-        k, n = ks[band], parts[band]
-        done = False
-        for domain, family, cuts in ((rare, 1, CUTS_RARE), (h, 2, CUTS_ALL)):
-            for cut in range(cuts):
-                values = domain if not cut else np.sort(mix(domain ^ U64(cut * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
-                if _cut(values, n, (band * 4 + family) * 16 + cut, out) > k:
-                    done = True
-                    break
-            if done:
+        for domain, family, cut in [*((rare, 1, c) for c in range(CUTS_RARE)), *((h, 2, c) for c in range(CUTS_ALL))]:
+            values = domain if not cut else np.sort(mix(domain ^ U64(cut * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+            if len(values) and _cut(values, parts[band], (band * 4 + family) * 16 + cut, out) > ks[band]:
                 break
-        if not done:
-            out.append(mix(np.array([band + (1 << 60)], U64)))
+        else:
+            out.append(mix(h + U64(band + (1 << 60))))
     return np.concatenate(out)
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: a text's doc_id, number of shingles and the digest of its set; of kind 1: shingles that are frequent among a stretch of texts."""
-    names = ["kind", "id", "n", "digest"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-    held: list[np.ndarray] = []
-    docs = 0
-
-    def common() -> Iterator[pa.RecordBatch]:
-        values, counts = np.unique(np.concatenate(held), return_counts=True)
-        often = counts >= max(2, FREQUENT * docs)
-        if often.any():
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(often.sum()), pa.int32()), pa.array(values[often].view(np.int64)), pa.array(counts[often], pa.int64()), pa.nulls(int(often.sum()), pa.binary())], names=names)
+PROFILE = "doc_id long, n_shingles long, digest binary, tag long"
+
+
+def digest_of(h: np.ndarray) -> bytes:
+    return hashlib.sha256(h.tobytes()).digest()[:16]
+
 
+def tag_of(doc_id: int, digest: bytes) -> int:
+    """Stands for a row's set in counts; two rows of one tag would only be counted together, which drops neither."""
+    return int(mix(np.array([(doc_id & 0xFFFFFFFFFFFFFFFF) ^ int.from_bytes(digest[:8], "little")], U64)).view(np.int64)[0])
+
+
+def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in runs(batches, "text", 2 << 20):
-        sets = list(shingle_sets(batch.column("text")))
-        n = [len(s) for s in sets]
-        digests = [hashlib.sha256(s.tobytes()).digest()[:16] for s in sets]
-        yield pa.RecordBatch.from_arrays([pa.array([0] * len(n), kinds[0]), batch.column("doc_id").cast(kinds[1]), pa.array(n, kinds[2]), pa.array(digests, kinds[3])], names=names)
-        held += sets
-        docs += len(sets)
-        if sum(map(len, held)) >= FLUSH:
-            yield from common()
-            held, docs = [], 0
-    if held:
-        yield from common()
+        n, digests, tags = [], [], []
+        for key, h in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+            n.append(len(h))
+            digests.append(digest_of(h))
+            tags.append(None if key is None else tag_of(key, digests[-1]))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tags, pa.int64())], names=["doc_id", "n_shingles", "digest", "tag"])
+
+
+PACKED = "bucket int, tags binary, sizes binary, hashes binary"
+
+
+def _packed(sets: list[np.ndarray], tags: list[int], n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """The sets' shingles by bucket: the tags of the sets with shingles in it, their numbers of shingles, and these."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bucket, low = truncated(np.concatenate(sets), n_buckets)
+    # hashes ascend in a set; so by bucket, and by set within
+    order = np.argsort(bucket.astype(np.int32), kind="stable")
+    bucket, low, owner = bucket[order], low[order], owner[order]
+    heads = np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (owner[1:] != owner[:-1])) + 1])
+    sizes = np.diff(np.concatenate([heads, [len(low)]])).astype(np.int32)
+    tag = np.array(tags, np.int64)[owner[heads]]
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[heads].astype(np.int64))) + 1, [len(heads)]])
+    ends = np.concatenate([heads, [len(low)]])
+    rows = [(int(bucket[heads[a]]), tag[a:b].tobytes(), sizes[a:b].tobytes(), low[ends[a] : ends[b]].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    for k in range(0, len(rows), 256):
+        columns = list(zip(*rows[k : k + 256], strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "tags", "sizes", "hashes"])
+
+
+def dealt_texts(texts: DataFrame, n_buckets: int) -> DataFrame:
+    """Shingles of texts, packed by bucket. Equal sets of a stretch are sent once."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets: list[np.ndarray] = []
+        tags: list[int] = []
+        seen: set[bytes] = set()
+        n = 0
+        for batch in runs(batches, "text", 1 << 20):
+            for key, h in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+                digest = digest_of(h)
+                if key is None or not len(h) or digest in seen:
+                    continue
+                seen.add(digest)
+                sets.append(h)
+                tags.append(tag_of(key, digest))
+                n += len(h)
+            if n >= FLUSH:
+                yield from _packed(sets, tags, n_buckets)
+                sets, tags, seen, n = [], [], set(), 0
+        if sets:
+            yield from _packed(sets, tags, n_buckets)
 
+    return texts.mapInArrow(deal, PACKED)
 
-def _planes(values: np.ndarray) -> bytes:
-    """Bytes by significance, so that equal high bytes compress."""
-    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T).tobytes()
 
+def dealt_sets(sets: DataFrame, n_buckets: int) -> DataFrame:
+    """As dealt_texts, of the table of sets."""
 
-def _values(data: bytes, kind: type) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, "shingles", 8 * FLUSH):
+            yield from _packed([np.frombuffer(x, U64) for x in batch.column("shingles").to_pylist()], batch.column("tag").to_pylist(), n_buckets)
 
+    return sets.select("tag", "shingles").mapInArrow(deal, PACKED)
 
-def _groups(sigs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and sizes of the runs of equal values."""
-    heads = np.concatenate([[0], np.flatnonzero(sigs[1:] != sigs[:-1]) + 1]) if len(sigs) else np.zeros(0, np.int64)
-    return heads, np.diff(np.concatenate([heads, [len(sigs)]]))
 
+def counted(packed: DataFrame, often: float) -> DataFrame:
+    """tag, n: of how many of a set's shingles other sets have too, summed over rows; tag is null: shingle n, which `often` sets have at least, as bucket and last 32 bits."""
 
-SIGNED = "bucket int, sigs binary, docs binary, more binary"
+    def count(pdf):
+        import pandas as pd
 
+        tags = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tags"]])
+        sizes = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
+        values = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["hashes"]]).astype(U64) << U64(32)
+        values |= np.repeat(np.arange(len(tags), dtype=U64), sizes)
+        values.sort()
+        low = values >> U64(32)
+        equal = low[1:] == low[:-1]
+        again = np.zeros(len(low), bool)
+        again[1:] = equal
+        again[:-1] |= equal
+        repeats = np.bincount((values[again] & LOW).astype(np.int64), minlength=len(tags))
+        heads = np.flatnonzero(again & ~np.concatenate([[False], equal]))
+        counts = np.diff(np.concatenate([np.searchsorted(np.flatnonzero(again), heads), [again.sum()]]))
+        common = low[heads[counts >= often]].astype(np.int64) | (int(pdf["bucket"].iloc[0]) << 32)
+        some = np.flatnonzero(repeats)
+        tag = pd.array(np.concatenate([tags[some], np.zeros(len(common), np.int64)]), "Int64")
+        tag[len(some) :] = None
+        return pd.DataFrame({"tag": tag, "n": np.concatenate([repeats[some], common])})
 
-def signed(docs: DataFrame, frequent: np.ndarray, n_buckets: int) -> DataFrame:
-    """Signatures dealt to buckets, packed; `more` marks those that stand for a list of this stretch.
+    return packed.groupBy("bucket").applyInPandas(count, "tag long, n long")
 
-    Texts of a stretch that share a signature send one entry on, the smallest doc_id's; the
-    list itself is a row of bucket -1. So what meets in a bucket for one signature is an entry
-    for each stretch at most, however many texts have it.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
-
-    def packed(sigs: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # by bucket, then signature; so a bucket's entries are one stretch
-        bucket = (sigs % U64(n_buckets)).astype(np.uint16 if n_buckets < 1 << 16 else np.int64)
-        order = np.argsort(sigs)
-        order = order[np.argsort(bucket[order], kind="stable")]
-        sigs, ids, bucket = sigs[order], ids[order], bucket[order]
-        heads, sizes = _groups(sigs)
-        lead_id, more, lead_sig, lead_bucket = np.minimum.reduceat(ids, heads), (sizes > 1).astype(np.uint8), sigs[heads], bucket[heads]
-        many = np.flatnonzero(sizes > 1)
-        for k in range(0, len(many), 4096):
-            part = many[k : k + 4096].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(part), pa.int32()), pa.array([sigs[heads[g]].tobytes() for g in part], pa.binary()), pa.array([np.sort(ids[heads[g] : heads[g] + sizes[g]]).tobytes() for g in part], pa.binary()), pa.nulls(len(part), pa.binary())], names=["bucket", "sigs", "docs", "more"])
-        at, n = _groups(lead_bucket)
-        cuts = list(zip(at.tolist(), (at + n).tolist(), strict=True))
-        for k in range(0, len(cuts), 256):
-            part = cuts[k : k + 256]
-            yield pa.RecordBatch.from_arrays([pa.array([int(lead_bucket[a]) for a, _ in part], pa.int32()), *(pa.array([f(x[a:b]) for a, b in part], pa.binary()) for f, x in ((_planes, lead_sig), (_planes, lead_id), (np.ndarray.tobytes, more)))], names=["bucket", "sigs", "docs", "more"])
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = shared.value
-        sigs, ids, n, seen = [], [], 0, set()
-        for batch in runs(batches, "text", 1 << 20):
-            for key, h in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
-                if key is None or not len(h):
-                    continue
-                mark = hashlib.sha256(h.tobytes()).digest()[:16]
-                if mark in seen:  # the class has been signed in this stretch
-                    continue
-                seen.add(mark)
-                own = signatures(h, common)
-                sigs.append(own)
-                ids.append(np.full(len(own), key, np.int64))
-                n += len(own)
-            if n >= FLUSH:
-                yield from packed(np.concatenate(sigs), np.concatenate(ids))
-                sigs, ids, n, seen = [], [], 0, set()
-        if sigs:
-            yield from packed(np.concatenate(sigs), np.concatenate(ids))
+SETS = "id long, digest binary, tag long, n long, bits binary, shingles binary"
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sign, SIGNED)
 
+def bit_map(h: np.ndarray) -> np.ndarray:
+    """Words of a map of 2 to 4 bits a shingle, at least 128: bit h modulo the size is set for each shingle h."""
+    size = 1 << max(7, int(2 * len(h) - 1).bit_length())
+    bits = np.zeros(size, bool)
+    bits[(h & U64(size - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").view(U64)
 
-MET = "a long, b long, sig binary, docs binary"
 
+def folded(maps: np.ndarray, n_words: int) -> np.ndarray:
+    """Maps (rows of words) as maps of n_words words."""
+    while maps.shape[1] > n_words:
+        half = maps.shape[1] // 2
+        maps = maps[:, :half] | maps[:, half:]
+    return maps
 
-def met(packed: DataFrame) -> DataFrame:
-    """What shares signatures: edges (a, b) from the smallest doc_id of each group, and lists of groups of three or more, or that stand for lists."""
 
-    def bucket(pdf):
-        import pandas as pd
+def most_common(na, nb, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """At most how many shingles two sets share. A bit that only one map has stands for a shingle that only one set has."""
+    both = np.bitwise_count(a & b).sum(-1, dtype=np.int64)
+    return np.minimum(na - (np.bitwise_count(a).sum(-1, dtype=np.int64) - both), nb - (np.bitwise_count(b).sum(-1, dtype=np.int64) - both))
 
-        sigs = np.concatenate([_values(x, np.uint64) for x in pdf["sigs"]])
-        ids = np.concatenate([_values(x, np.int64) for x in pdf["docs"]])
-        more = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["more"]])
-        order = np.argsort(sigs)
-        heads, sizes = _groups(sigs[order])
-        order = order[np.repeat(sizes > 1, sizes)]  # most signatures stand alone
-        order = order[np.lexsort((ids[order], sigs[order]))]
-        sigs, ids, more = sigs[order], ids[order], more[order]
-        heads, sizes = _groups(sigs)
-        marked = np.maximum.reduceat(more, heads).astype(bool) if len(heads) else np.zeros(0, bool)
-        lead = np.repeat(ids[heads], sizes)
-        edge = ids != lead
-        pairs = np.stack([lead[edge], ids[edge]], 1)
-        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
-        pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])] if len(pairs) else pairs
-        # equal lists of groups without local lists are kept once
-        marks = np.add.reduceat(mix(ids.view(U64)), heads) if len(heads) else np.zeros(0, U64)
-        _, once = np.unique(np.where(marked, np.arange(len(heads)).astype(U64), marks), return_index=True)
-        wide = once[(sizes[once] > 2) | marked[once]].tolist()
-        lists = [(sigs[heads[g]].tobytes(), np.unique(ids[heads[g] : heads[g] + sizes[g]]).tobytes()) for g in wide]
-        n = len(pairs)
-        columns = {"a": pd.array(np.append(pairs[:, 0], np.zeros(len(lists), np.int64)), "Int64"), "b": pd.array(np.append(pairs[:, 1], np.zeros(len(lists), np.int64)), "Int64")}
-        for c in columns.values():
-            c[n:] = None
-        return pd.DataFrame(columns | {"sig": [*[None] * n, *(x[0] for x in lists)], "docs": [*[None] * n, *(x[1] for x in lists)]})
-
-    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = [np.frombuffer(x, np.int64) for x in batch.column("docs").to_pylist()]
-            edges = np.unique(np.concatenate([np.stack([np.full(len(x) - 1, x[0]), x[1:]], 1) for x in lists]), axis=0) if lists else np.zeros((0, 2), np.int64)
-            none = pa.nulls(len(edges), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1]), none, none], names=["a", "b", "sig", "docs"])
-            yield pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.int64()), batch.column("sigs").cast(pa.binary()), batch.column("docs").cast(pa.binary())], names=["a", "b", "sig", "docs"])
 
-    across = packed.where("bucket >= 0").groupBy("bucket").applyInPandas(bucket, MET)
-    return across.union(packed.where("bucket < 0").select("sigs", "docs").mapInArrow(local, MET))
+def allowed(na, nb, common) -> np.ndarray:
+    p, q = NEED
+    return common * q >= (na + nb - common) * p
+
 
+def sets_of(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The sets of the classes `wanted` (id, digest), of their texts."""
 
-BITS = 1024
-SETS = "id long, n long, bits array<long>, shingles array<long>"
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in runs(batches, "text", 1 << 20):
+            rows = []
+            for key, digest, h in zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+                if digest_of(h) == digest:  # else another text of the same doc_id
+                    rows.append((key, digest, tag_of(key, digest), len(h), bit_map(h).tobytes(), h.tobytes()))
+            if rows:
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["id", "digest", "tag", "n", "bits", "shingles"])
 
+    joined = texts.join(wanted.withColumnRenamed("id", "doc_id").hint("shuffle_hash"), "doc_id").select("doc_id", "digest", "text")
+    return joined.mapInArrow(build, SETS).dropDuplicates(["id", "digest"])
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles, their number, and a bit map: bit h modulo BITS is set for each shingle h."""
-    for batch in runs(batches, "text", 1 << 20):
-        sets = list(shingle_sets(batch.column("text")))
-        ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-        flat = np.concatenate(sets) if len(sets) else np.zeros(0, U64)
-        maps = np.zeros((len(sets), BITS), bool)
-        maps[np.repeat(np.arange(len(sets)), np.diff(ends)), (flat % U64(BITS)).astype(np.int64)] = True
-        words = np.packbits(maps, axis=1).view(np.int64).ravel()
-        places = np.arange(len(sets) + 1) * (BITS // 64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(words)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))], names=["id", "n", "bits", "shingles"])
 
+def signed(sets: DataFrame, frequent: np.ndarray, n_buckets: int) -> DataFrame:
+    """(sig, id) of all sets."""
+    shared = sets.sparkSession.sparkContext.broadcast(frequent)
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = [np.frombuffer(x, np.int64) for x in batch.column("docs").to_pylist()]
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
-        flat = np.concatenate(lists) if lists else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("sig"), batch.column("list"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["sig", "list", "members"])
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = shared.value
+        for batch in runs(batches, "shingles", 1 << 20):
+            sigs, ids = [], []
+            for key, data in zip(batch.column("id").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+                h = np.frombuffer(data, U64)
+                rare = h
+                if len(common):
+                    bucket, low = truncated(h, n_buckets)
+                    short = bucket.astype(np.int64) << 32 | low.astype(np.int64)
+                    at = np.searchsorted(common, short)
+                    at[at == len(common)] = 0
+                    rare = h[common[at] != short]
+                sigs.append(np.unique(signatures(h, rare)).view(np.int64))
+                ids.append(np.full(len(sigs[-1]), key, np.int64))
+            flat, flat_ids = np.concatenate(sigs), np.concatenate(ids)
+            for k in range(0, len(flat), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[k : k + (1 << 16)]), pa.array(flat_ids[k : k + (1 << 16)])], names=["sig", "id"])
+
+    return sets.select("id", "shingles").mapInArrow(sign, "sig long, id long")
 
 
 def likely(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a, b) that the bit maps allow, with the size of both sets.
+    """The edges (a, b) that the bit maps allow, with the size of both sets; no similar pair is lost."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (batch.column(c).to_numpy() for c in ("na", "nb"))
+            common = np.zeros(len(na), np.int64)
+            for k, (x, y) in enumerate(zip(batch.column("ma").to_pylist(), batch.column("mb").to_pylist(), strict=True)):
+                x, y = np.frombuffer(x, U64)[None], np.frombuffer(y, U64)[None]
+                words = min(x.shape[1], y.shape[1])
+                common[k] = most_common(na[k], nb[k], folded(x, words), folded(y, words))[0]
+            ok = pa.array(allowed(na, nb, common))
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok), pa.array(na + nb).filter(ok)], names=["a", "b", "size"])
 
-    A bit that only one map has stands for a shingle that only one set has; so the maps bound
-    the common shingles from above, and no similar pair is lost.
-    """
     side = lambda k: sets.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"m{k}"))
-    both = edges.join(side("b"), "b").join(side("a"), "a")
-    missing = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseAND(F.bitwise_not(v)))), F.lit(0), lambda s, c: s + c)
-    most = F.least(F.col("na") - missing("ma", "mb"), F.col("nb") - missing("mb", "ma"))
     p, q = NEED
-    return both.select("a", "b", (F.col("na") + F.col("nb")).alias("size"), most.alias("most")).where(F.col("most") * q >= (F.col("size") - F.col("most")) * p).select("a", "b", "size").distinct()
+    both = edges.join(side("b"), "b").join(side("a"), "a").where((F.least("na", "nb") * q >= F.greatest("na", "nb") * p)).select("a", "b", "na", "nb", "ma", "mb")
+    return both.mapInArrow(check, "a long, b long, size long").distinct()
 
 
-def similar(edges: DataFrame, sets: DataFrame) -> DataFrame:
-    """The edges (a, b) whose sets are similar.
+def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b; size is that of both sets) whose sets are similar.
 
     Sets meet in rounds, each of about as many shingles as the table of sets holds, so that
-    what a round shuffles does not grow with the number of edges.
+    what a round shuffles does not grow with the number of pairs.
     """
-    found = materialize(likely(edges, sets), "likely")
     held = int(sets.agg(F.sum("n")).first()[0] or 0)
-    rounds = max(1, -(-int(found.agg(F.sum("size")).first()[0] or 0) // max(held, 1)))
-    p, q = NEED
+    rounds = max(1, -(-int(pairs.agg(F.sum("size")).first()[0] or 0) // max(2 * held, 1)))
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = []
+            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, U64), np.frombuffer(y, U64)
+                ok.append(bool(allowed(len(x), len(y), len(np.intersect1d(x, y, assume_unique=True)))))
+            ok = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(ok), batch.column("b").filter(ok)], names=["a", "b"])
+
     parts = []
     for k in range(rounds):
-        part = found.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k).select("a", "b")
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(rounds)) == k).select("a", "b")
         with_b = part.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-        both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-        common = F.size(F.array_intersect("sa", "sb"))
-        checked = both.select("a", "b", (common * q >= (F.size("sa") + F.size("sb") - common) * p).alias("ok")).where("ok").select("a", "b")
-        parts.append(materialize(checked, "similar"))
+        both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").select("a", "b", "sa", "sb")
+        parts.append(materialize(both.mapInArrow(check, "a long, b long").distinct(), "similar"))
     return reduce(DataFrame.union, parts)
 
 
+BESIDE = "a long, b long, size long"
+
+
+def across(edges: DataFrame, sets: DataFrame, roots: DataFrame, best: bool) -> DataFrame:
+    """Pairs (a, b, size) of different components beside one lead that the bit maps allow; best: for two components beside a lead, in a block, only the likeliest."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, i, j), group in grouped(batches, ["a", "i", "j"]):
+            first = group.column("block").to_numpy() == i
+            ids, root, n = (group.column(c).to_numpy() for c in ("id", "root", "n"))
+            maps = group.column("bits").to_pylist()
+            words = np.array([len(m) // 8 for m in maps])
+            by_size = {w: np.flatnonzero(words == w) for w in np.unique(words).tolist()}
+            table = {w: np.frombuffer(b"".join(maps[k] for k in at), U64).reshape(-1, w) for w, at in by_size.items()}
+            found = [np.zeros((0, 3), np.int64)]
+            for w, at in by_size.items():
+                for v in (w, 2 * w):  # sizes of similar sets differ less than twofold
+                    if v not in by_size:
+                        continue
+                    other, right = by_size[v], folded(table[v], w)
+                    step = max(1, (1 << 20) // (len(other) * w))
+                    for k in range(0, len(at), step):
+                        own = at[k : k + step]
+                        common = most_common(n[own][:, None], n[other][None], table[w][k : k + step][:, None], right[None])
+                        ok = allowed(n[own][:, None], n[other][None], common) & (root[own][:, None] != root[other][None])
+                        if i != j:
+                            ok &= first[own][:, None] != first[other][None]
+                        if v == w:
+                            ok &= own[:, None] < other[None]
+                        x, y = np.nonzero(ok)
+                        found.append(np.stack([own[x], other[y], common[x, y]], 1))
+            pairs = np.concatenate(found)
+            if best and len(pairs):
+                low, high = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]]), np.maximum(root[pairs[:, 0]], root[pairs[:, 1]])
+                order = np.lexsort((-pairs[:, 2] / (n[pairs[:, 0]] + n[pairs[:, 1]]), high, low))
+                low, high = low[order], high[order]
+                pairs = pairs[order[np.concatenate([[True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])])]]
+            x, y = ids[pairs[:, 0]], ids[pairs[:, 1]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(n[pairs[:, 0]] + n[pairs[:, 1]])], names=["a", "b", "size"])
+
+    placed = sets.select("id", "n", "bits").join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "bits", F.coalesce("root", "id").alias("root"))
+    beside = edges.select("a", F.col("b").alias("id")).join(placed, "id")
+    mixed = beside.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.sum(F.octet_length("bits") + 64).alias("bytes")).where("low != high")
+    mixed = mixed.select("a", F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int").alias("blocks"))
+    members = beside.join(mixed, "a").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("a", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "root", "n", "bits")
+    dealt = members.repartition("a", "i", "j").sortWithinPartitions("a", "i", "j")
+    return dealt.mapInArrow(compare, BESIDE).distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id, the smallest doc_id that links reach; one row for each row of docs."""
+    p, q = NEED
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    profile = materialize(texts.mapInArrow(_profile, "kind int, id long, n long, digest binary"), "profile")
-    rows = profile.where("kind = 0").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "digest")
+    rows = materialize(texts.mapInArrow(_profile, PROFILE), "profile")
     n_docs, n_all = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
-    often = profile.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= max(16, FREQUENT * n_docs))
+    n_buckets = max(8, -(-int(n_all) // BUCKET_ENTRIES))
+    shared = lambda packed: counted(packed, max(16, FREQUENT * n_docs)).groupBy("tag", F.when(F.col("tag").isNull(), F.col("n")).alias("common")).agg(F.sum("n").alias("repeats"))
+    enough = lambda n: F.col("repeats") * q >= F.col(n) * p
+
+    in_rows = materialize(shared(dealt_texts(texts, n_buckets)), "repeats")
     # at most 1 / FREQUENT times the mean size of a set
-    frequent = np.sort(np.array([r[0] for r in often.select("id").collect()], np.int64).view(U64))
-    n_buckets = max(8, -(-int(n_all) // BUCKET_SIGNATURES))
-    found = materialize(met(signed(texts, frequent, n_buckets)), "met")
-
-    classes = rows.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    class_of = materialize(rows.where("n_shingles > 0 and doc_id is not null").join(classes, "digest").select(F.col("doc_id").alias("id"), "rep", "n_shingles"), "classes")
-    to_rep = class_of.select("id", "rep").distinct()
-
-    def of_classes(pairs: DataFrame) -> DataFrame:
-        a = to_rep.select(F.col("id").alias("a"), F.col("rep").alias("ra"))
-        b = to_rep.select(F.col("id").alias("b"), F.col("rep").alias("rb"))
-        mapped = pairs.join(a, "a").join(b, "b").where("ra != rb")
-        return mapped.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
-
-    edges = materialize(of_classes(found.where("a is not null").select("a", "b").distinct()), "class-edges")
-    lists = found.where("a is null").select("sig", "docs", F.xxhash64("docs").alias("list"))
-    wanted = edges.select(F.col("a").alias("doc_id")).union(edges.select("b")).distinct()
-    sets = materialize(texts.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, SETS), "sets")
-
-    first = edges.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = materialize(similar(first, sets), "links")
-    roots = components(links)
-
-    def across(pairs: DataFrame) -> DataFrame:
-        """The pairs whose nodes are in different components so far."""
-        a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
-        b = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        return pairs.join(a, "a", "left").join(b, "b", "left").where("coalesce(ra, a) != coalesce(rb, b)").select("a", "b")
-
-    second = across(edges.join(first, ["a", "b"], "left_anti"))
-    links = materialize(links.union(similar(second, sets)), "links")
-    roots = materialize(components(links), "roots")
-
-    # groups that still hold several components
-    members = lists.dropDuplicates(["list"]).mapInArrow(_unpacked, "sig binary, list long, members array<long>").select("list", F.explode("members").alias("id"))
-    at = class_of.select("id", "rep", "n_shingles").dropDuplicates(["id"]).join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("id", "rep", "n_shingles", F.coalesce("root", "rep").alias("root"))
-    at = materialize(at, "placed")
-    mixed = members.join(at, "id").groupBy("list").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("list")
-    sigs = lists.join(mixed, "list", "left_semi").select("sig").distinct()
-    whole = lists.join(sigs, "sig", "left_semi").mapInArrow(_unpacked, "sig binary, list long, members array<long>").select("sig", F.explode("members").alias("id")).distinct()
-    whole = materialize(whole.join(at, "id").select("sig", "rep", "n_shingles", "root").distinct(), "mixed")
-    left = whole.select("sig", F.col("rep").alias("a"), F.col("root").alias("ra"), F.col("n_shingles").alias("na"))
-    right = whole.select("sig", F.col("rep").alias("b"), F.col("root").alias("rb"), F.col("n_shingles").alias("nb"))
-    p, q = NEED
-    third = left.join(right, "sig").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("na", "nb") * q >= F.greatest("na", "nb") * p)).select("a", "b").distinct().join(edges, ["a", "b"], "left_anti")
-    third = materialize(third, "mixed-pairs")
-    if not third.isEmpty():
-        more = third.select(F.col("a").alias("doc_id")).union(third.select("b")).distinct()
-        own = texts.join(more, "doc_id", "left_semi").mapInArrow(_sets, SETS)
-        links = materialize(links.union(similar(third, materialize(own, "sets"))), "links")
-        roots = materialize(components(links), "roots")
+    frequent = np.sort(np.array([r[0] for r in in_rows.where("tag is null").select("common").collect()], np.int64))
+    known = rows.where("n_shingles > 0 and doc_id is not null")
+    classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    digests = known.join(in_rows.where("tag is not null"), "tag").where(enough("n_shingles")).select("digest").distinct()
+    wanted = materialize(classes.join(digests, "digest").select(F.col("rep").alias("id"), "digest"), "wanted")
+    all_sets = materialize(sets_of(texts, wanted), "sets")
+    in_classes = shared(dealt_sets(all_sets, n_buckets)).where("tag is not null")
+    sets = materialize(all_sets.join(in_classes, "tag").where(enough("n")).select("id", "n", "bits", "shingles"), "sets")
+    for done in (in_rows, wanted, all_sets):
+        forget(done)
+
+    sigs = materialize(signed(sets, frequent, n_buckets), "signatures")
+    leads = materialize(sigs.groupBy("sig").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a != b").select("sig", "a"), "leads")
+    edges = materialize(sigs.join(leads.hint("shuffle_hash"), "sig").where("id != a").select("a", F.col("id").alias("b")).distinct(), "edges")
+    forget(sigs)
+    forget(leads)
+
+    # a doc_id of several texts makes their classes one
+    class_of = known.join(classes, "digest").select(F.col("doc_id").alias("id"), "rep")
+    least = class_of.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("id", "a")
+    links = materialize(class_of.join(least, "id").where("rep != a").select("a", F.col("rep").alias("b")).distinct(), "links")
+    for step in ("leads", "best", "all"):
+        pairs = materialize(likely(edges, sets) if step == "leads" else across(edges, sets, roots, step == "best"), "likely")  # noqa: F821
+        if step == "leads" or not pairs.isEmpty():
+            links = links.union(verified(pairs, sets))
+            roots = materialize(components(links), "roots")
+        forget(pairs)
     forget(sets)
-    forget(found)
-    placed = to_rep.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("id").alias("doc_id"), F.coalesce("root", "rep").alias("component_id"))
-    smallest = placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return rows.join(smallest, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    forget(edges)
+    placed = class_of.join(roots.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("root", "rep")).alias("component_id"))
+    return rows.join(placed.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -90,7 +90,33 @@ def test_similar_sets_share_a_signature():
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
         if 4 * both >= 3 * either:
             often = np.sort(rng.choice(np.union1d(a, b), int(rng.integers(0, either)), replace=False)) if t % 3 == 0 else a[:0]
-            assert len(np.intersect1d(ngram_join.signatures(a, often), ngram_join.signatures(b, often)))
+            rare = lambda x: np.setdiff1d(x, often)  # noqa: E731, B023
+            assert len(np.intersect1d(ngram_join.signatures(a, rare(a)), ngram_join.signatures(b, rare(b))))
+
+
+def test_ngram_join_of_wide_groups(spark, monkeypatch):
+    """Near copies of one text that a chain links, unlike texts with a common passage, a doc_id of two texts, blocks of few sets."""
+    rng = random.Random(5)
+    base, passage = phrase(rng, 60).split(), phrase(rng, 40)
+    rows = []
+    for k in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(1, 4)):
+            words[rng.randrange(60)] = f"y{rng.randrange(500)}"
+        rows.append((1000 - k, " ".join(words)))
+    rows += [(2000 + k, phrase(rng, 12) + " " + passage) for k in range(60)] + [(3000 + k, phrase(rng, 200) + " " + passage) for k in range(20)]
+    rows += [(5, phrase(rng, 30)), (9, phrase(rng, 30))]
+    rows += [(7, rows[-2][1]), (7, rows[-1][1]), (7, rows[-1][1])]
+    once = {}
+    for i, t in rows[:-3]:
+        once[i] = t
+    for bound in (1 << 22, 2000):
+        monkeypatch.setattr(ngram_join, "BLOCK_BYTES", bound)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(table(spark, rows)).collect()}
+        want = {i: c for i, (_, c) in components_by_hand(list(once.items())).items()}
+        assert {i: c for i, c in got.items() if i in want and i not in (5, 9)} == {i: c for i, c in want.items() if i not in (5, 9)}
+        assert got[5] == got[7] == got[9] == 5
+    assert 1 < len(set(want.values())) < len(want)
 
 
 def test_suffix_array():
