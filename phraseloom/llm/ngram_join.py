@@ -162,7 +162,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(tags, pa.int64())], names=["doc_id", "n_shingles", "digest", "tag"])
 
 
-PACKED = "bucket int, tags binary, sizes binary, hashes binary"
+PACKED = "bucket int, stretch long, tags binary, sizes binary, hashes binary"
 
 
 def _packed(sets: list[np.ndarray], tags: list[int], n_buckets: int) -> Iterator[pa.RecordBatch]:
@@ -177,10 +177,11 @@ def _packed(sets: list[np.ndarray], tags: list[int], n_buckets: int) -> Iterator
     tag = np.array(tags, np.int64)[owner[heads]]
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket[heads].astype(np.int64))) + 1, [len(heads)]])
     ends = np.concatenate([heads, [len(low)]])
-    rows = [(int(bucket[heads[a]]), tag[a:b].tobytes(), sizes[a:b].tobytes(), low[ends[a] : ends[b]].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    stretch = int(mix(np.array(tags, np.int64).view(U64) + np.arange(len(tags), dtype=U64)).sum().view(np.int64))
+    rows = [(int(bucket[heads[a]]), stretch, tag[a:b].tobytes(), sizes[a:b].tobytes(), low[ends[a] : ends[b]].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
     for k in range(0, len(rows), 256):
         columns = list(zip(*rows[k : k + 256], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), *(pa.array(c, pa.binary()) for c in columns[1:])], names=["bucket", "tags", "sizes", "hashes"])
+        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[2:])], names=["bucket", "stretch", "tags", "sizes", "hashes"])
 
 
 def dealt_texts(texts: DataFrame, n_buckets: int) -> DataFrame:
@@ -219,12 +220,16 @@ def dealt_sets(sets: DataFrame, n_buckets: int) -> DataFrame:
     return sets.select("tag", "shingles").mapInArrow(deal, PACKED)
 
 
+COUNTED = "stretch long, tags binary, repeats binary, common long"
+
+
 def counted(packed: DataFrame, often: float) -> DataFrame:
-    """tag, n: of how many of a set's shingles other sets have too, summed over rows; tag is null: shingle n, which `often` sets have at least, as bucket and last 32 bits."""
+    """Of each stretch of sets in a bucket: the tags of sets that have shingles which other sets have too, and how many; then (common) shingles that `often` sets have at least, as bucket and last 32 bits."""
 
     def count(pdf):
         import pandas as pd
 
+        n_tags = (pdf["tags"].str.len() // 8).to_numpy()
         tags = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tags"]])
         sizes = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["sizes"]])
         values = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["hashes"]]).astype(U64) << U64(32)
@@ -235,16 +240,34 @@ def counted(packed: DataFrame, often: float) -> DataFrame:
         again = np.zeros(len(low), bool)
         again[1:] = equal
         again[:-1] |= equal
-        repeats = np.bincount((values[again] & LOW).astype(np.int64), minlength=len(tags))
+        repeats = np.bincount((values[again] & LOW).astype(np.int64), minlength=len(tags)).astype(np.int32)
         heads = np.flatnonzero(again & ~np.concatenate([[False], equal]))
         counts = np.diff(np.concatenate([np.searchsorted(np.flatnonzero(again), heads), [again.sum()]]))
         common = low[heads[counts >= often]].astype(np.int64) | (int(pdf["bucket"].iloc[0]) << 32)
-        some = np.flatnonzero(repeats)
-        tag = pd.array(np.concatenate([tags[some], np.zeros(len(common), np.int64)]), "Int64")
-        tag[len(some) :] = None
-        return pd.DataFrame({"tag": tag, "n": np.concatenate([repeats[some], common])})
+        rows = []
+        ends = np.cumsum(n_tags).tolist()
+        for stretch, at, end in zip(pdf["stretch"].tolist(), [0, *ends[:-1]], ends, strict=True):
+            some = at + np.flatnonzero(repeats[at:end])
+            if len(some):
+                rows.append((stretch, tags[some].tobytes(), repeats[some].tobytes(), None))
+        rows += [(None, None, None, x) for x in common.tolist()]
+        return pd.DataFrame(rows, columns=["stretch", "tags", "repeats", "common"]).astype({"stretch": "Int64", "common": "Int64"})
+
+    return packed.groupBy("bucket").applyInPandas(count, COUNTED)
+
+
+def repeats_of(found: DataFrame) -> DataFrame:
+    """tag, repeats: of how many of a set's shingles other sets have too. What the buckets found is summed by stretch, so that no row is a bucket's count of a document."""
+
+    def total(pdf):
+        import pandas as pd
+
+        tags = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["tags"]])
+        tag, at = np.unique(tags, return_inverse=True)
+        n = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["repeats"]])
+        return pd.DataFrame({"tag": tag, "repeats": np.bincount(at, weights=n, minlength=len(tag)).astype(np.int64)})
 
-    return packed.groupBy("bucket").applyInPandas(count, "tag long, n long")
+    return found.where("stretch is not null").select("stretch", "tags", "repeats").groupBy("stretch").applyInPandas(total, "tag long, repeats long").groupBy("tag").agg(F.sum("repeats").alias("repeats"))
 
 
 SETS = "id long, digest binary, tag long, n long, bits binary, shingles binary"
@@ -425,19 +448,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = materialize(texts.mapInArrow(_profile, PROFILE), "profile")
     n_docs, n_all = rows.agg(F.count("*"), F.coalesce(F.sum("n_shingles"), F.lit(0))).first()
     n_buckets = max(8, -(-int(n_all) // BUCKET_ENTRIES))
-    shared = lambda packed: counted(packed, max(16, FREQUENT * n_docs)).groupBy("tag", F.when(F.col("tag").isNull(), F.col("n")).alias("common")).agg(F.sum("n").alias("repeats"))
     enough = lambda n: F.col("repeats") * q >= F.col(n) * p
 
-    in_rows = materialize(shared(dealt_texts(texts, n_buckets)), "repeats")
+    in_rows = materialize(counted(dealt_texts(texts, n_buckets), max(16, FREQUENT * n_docs)), "repeats")
     # at most 1 / FREQUENT times the mean size of a set
-    frequent = np.sort(np.array([r[0] for r in in_rows.where("tag is null").select("common").collect()], np.int64))
+    frequent = np.sort(np.array([r[0] for r in in_rows.where("common is not null").select("common").collect()], np.int64))
     known = rows.where("n_shingles > 0 and doc_id is not null")
     classes = materialize(known.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    digests = known.join(in_rows.where("tag is not null"), "tag").where(enough("n_shingles")).select("digest").distinct()
+    digests = known.join(repeats_of(in_rows), "tag").where(enough("n_shingles")).select("digest").distinct()
     wanted = materialize(classes.join(digests, "digest").select(F.col("rep").alias("id"), "digest"), "wanted")
     all_sets = materialize(sets_of(texts, wanted), "sets")
-    in_classes = shared(dealt_sets(all_sets, n_buckets)).where("tag is not null")
-    sets = materialize(all_sets.join(in_classes, "tag").where(enough("n")).select("id", "n", "bits", "shingles"), "sets")
+    in_classes = counted(dealt_sets(all_sets, n_buckets), np.inf)
+    sets = materialize(all_sets.join(repeats_of(in_classes), "tag").where(enough("n")).select("id", "n", "bits", "shingles"), "sets")
     for done in (in_rows, wanted, all_sets):
         forget(done)
 

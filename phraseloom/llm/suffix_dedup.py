@@ -15,9 +15,11 @@ earliest of a class mark their bytes. Runs whose hash more than HOT places have
 much of the corpus shares) are not gathered in one bucket: their windows are dealt by the hash
 of the whole window, and of equal ones the earliest stays.
 
-Null texts are empty. A null doc_id counts as the smallest. Rows with the same doc_id count as
-one document: equal rows get equal results; different texts of one doc_id share their marks.
-Texts shorter than LENGTH lose nothing.
+Null texts are empty. A row is known by its doc_id and a hash of both columns: rows with a null
+doc_id are documents of their own, before all others; different texts of one doc_id are different
+documents, in the order of that hash, which also orders those with null. Rows that are equal in
+both are one document, and get equal results. Texts shorter than LENGTH lose nothing. An empty
+table gives no rows; columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ LENGTH = 100
 K = 32
 POSITION_BITS = 22
 RUN = 1024
-HOT = 20_000
+HOT = 10_000
 FLUSH = 400_000
 BUCKET_ENTRIES = 1_000_000
 BUCKET_BYTES = 2_500_000
@@ -91,51 +93,57 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of s in order; s holds positive integers. Difference cover modulo 3."""
     n = len(s)
     if n < 3:
-        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int64)
-    padded = np.concatenate([s.astype(np.int64), [0, 0, 0]])
+        return np.array(sorted(range(n), key=lambda i: s[i:].tolist()), np.int32)
+    assert n < 1 << 31
+    padded = np.zeros(n + 3, np.int32)
+    padded[:n] = s
     # a sample position n stands for the empty suffix where n is 1 modulo 3
-    b1 = np.arange(1, n + (n % 3 == 1), 3)
-    b2 = np.arange(2, n, 3)
+    b1 = np.arange(1, n + (n % 3 == 1), 3, dtype=np.int32)
+    b2 = np.arange(2, n, 3, dtype=np.int32)
     sample = np.concatenate([b1, b2])
     top = int(padded.max()) + 1
     if top < 1 << 21:
-        key = (padded[sample] * top + padded[sample + 1]) * top + padded[sample + 2]
-        order = np.argsort(key)
+        key = padded[sample].astype(np.int64)
+        for k in (1, 2):
+            key *= top
+            key += padded[sample + k]
+        order = np.argsort(key).astype(np.int32)
         key = key[order]
         new = key[1:] != key[:-1]
         del key
     else:
-        order = np.lexsort((padded[sample + 2], padded[sample + 1], padded[sample]))
+        order = np.lexsort((padded[sample + 2], padded[sample + 1], padded[sample])).astype(np.int32)
         by = sample[order]
         new = (padded[by[1:]] != padded[by[:-1]]) | (padded[by[1:] + 1] != padded[by[:-1] + 1]) | (padded[by[1:] + 2] != padded[by[:-1] + 2])
         del by
     if not new.all():
-        names = np.empty(len(sample), np.int64)
-        names[order] = np.concatenate([[1], 1 + np.cumsum(new)])
+        names = np.empty(len(sample), np.int32)
+        names[order[:1]] = 1
+        names[order[1:]] = 1 + np.cumsum(new, dtype=np.int32)
         del order, new
         order = suffix_array(names)
         del names
     sorted_sample = sample[order]
     del order
-    rank = np.zeros(n + 3, np.int64)
-    rank[sorted_sample] = np.arange(1, len(sample) + 1)
-    b0 = np.arange(0, n, 3)
+    rank = np.zeros(n + 3, np.int32)
+    rank[sorted_sample] = np.arange(1, len(sample) + 1, dtype=np.int32)
+    b0 = np.arange(0, n, 3, dtype=np.int32)
     wide = len(sample) + 2
-    first = padded[b0] * wide + rank[b0 + 1]
-    sorted0 = b0[np.argsort(first)]
+    pair = lambda x: padded[x].astype(np.int64) * wide + rank[x + 1]
+    sorted0 = b0[np.argsort(pair(b0))]
     sorted_sample = sorted_sample[sorted_sample < n]
     # how many sampled suffixes come before each of the rest
     one, two = sorted_sample[sorted_sample % 3 == 1], sorted_sample[sorted_sample % 3 == 2]
-    less = np.searchsorted(padded[one] * wide + rank[one + 1], padded[sorted0] * wide + rank[sorted0 + 1])
+    less = np.searchsorted(pair(one), pair(sorted0))
     if top < 1 << 20 and wide < 1 << 23:
-        pair = lambda x: (padded[x] * top + padded[x + 1]) * wide + rank[x + 2]
-        less = less + np.searchsorted(pair(two), pair(sorted0))
+        triple = lambda x: (padded[x].astype(np.int64) * top + padded[x + 1]) * wide + rank[x + 2]
+        less += np.searchsorted(triple(two), triple(sorted0))
     else:
         both = np.concatenate([two, sorted0])
         order = np.lexsort((np.concatenate([np.zeros(len(two)), np.ones(len(sorted0))]), rank[both + 2], padded[both + 1], padded[both]))
         is0 = order >= len(two)
         less = less + np.cumsum(~is0)[is0]
-    out = np.empty(n, np.int64)
+    out = np.empty(n, np.int32)
     place = np.arange(len(sorted0)) + less
     rest = np.ones(n, bool)
     rest[place] = False
@@ -147,17 +155,17 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
 def repeated_windows(texts: list[bytes], order: np.ndarray, length: int = LENGTH) -> list[np.ndarray]:
     """Of each text, the starts of windows that equal an earlier one.
 
-    A window's place is order[text] + start, given as pairs (document, place) in `order`;
-    windows at the same place are the same.
+    A window's place is order[text] + start, given as a document's key parts and a place in it in
+    the rows of `order`; windows at the same place are the same.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    flat = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64) + 1
+    flat = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int16) + 1
     begin = np.concatenate([[0], np.cumsum(sizes + 1)])
     flat[begin[1:] - 1] = 0
     flat += 1
     sa = suffix_array(flat)
-    text = np.repeat(np.arange(len(texts)), sizes + 1)
-    start = np.arange(len(flat)) - begin[text]
+    text = np.repeat(np.arange(len(texts), dtype=np.int32), sizes + 1)
+    start = np.arange(len(flat), dtype=np.int32) - begin[text].astype(np.int32)
     is_window = start + length <= sizes[text]
     sa = sa[is_window[sa]]
     # adjacent windows are equal if their bytes are: all in blocks of eight, by words of the text
@@ -173,7 +181,8 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, length: int = LENGTH
         return [np.zeros(0, np.int64)] * len(texts)
     heads = np.concatenate([[0], np.flatnonzero(~same) + 1])
     # places in one number: the document's rank, then the byte
-    place = (np.unique(order[:, 0], return_inverse=True)[1][text[sa]] << 40) + order[text[sa], 1] + start[sa]
+    document = np.unique(order[:, :-1], axis=0, return_inverse=True)[1].reshape(-1)
+    place = (document[text[sa]].astype(np.int64) << 40) + order[text[sa], -1] + start[sa]
     first = np.repeat(np.minimum.reduceat(place, heads), np.diff(np.concatenate([heads, [len(sa)]])))
     hits = sa[place != first]
     out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(texts)
@@ -227,7 +236,7 @@ def _batches(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in held], pa.int32()), pa.array([x[1] for x in held], pa.binary())], names=["bucket", "packed"])
 
 
-FOUND = "doc long, hash long, low long, windows int, hot boolean"
+FOUND = "key long, hash long, low long, windows int, hot boolean"
 
 
 def runs_of(docs: DataFrame, n_buckets: int) -> DataFrame:
@@ -237,7 +246,7 @@ def runs_of(docs: DataFrame, n_buckets: int) -> DataFrame:
         held, n = [], 0
         for batch in runs(batches, "text", 1 << 20):
             data, offsets = text_bytes(batch.column("text"))
-            for key, a, b in zip(batch.column("doc").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+            for key, a, b in zip(batch.column("key").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
                 if b - a >= LENGTH:
                     value, low, size, several = window_runs(data[a:b])
                     held.append((value, np.full(len(value), key, np.int64), low, size, several))
@@ -269,7 +278,7 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
     """The runs whose hash occurs again, and whether more than HOT places have it.
 
     Runs of a stretch that share their hash are known to repeat; whether their hash is hot is
-    looked up afterwards, by the rows of the hot hashes (doc is null).
+    looked up afterwards, by the rows of the hot hashes (key is null).
     """
 
     def bucket(pdf):
@@ -285,17 +294,17 @@ def repeated_runs(packed: DataFrame) -> DataFrame:
         again = np.repeat(entries > 1, entries) | (count == -1)
         again &= count <= 1  # the others have rows of their own
         h = np.flatnonzero(hot)
-        return pd.DataFrame({"doc": pd.Series([*doc[again].tolist(), *[None] * len(h)], dtype="Int64"), "hash": np.concatenate([value[again], value[heads][h]]), "low": np.concatenate([low[again], np.zeros(len(h), np.int64)]), "windows": np.concatenate([size[again], np.zeros(len(h), np.int64)]).astype(np.int32), "hot": np.concatenate([np.repeat(hot, entries)[again], np.ones(len(h), bool)])})
+        return pd.DataFrame({"key": pd.Series([*doc[again].tolist(), *[None] * len(h)], dtype="Int64"), "hash": np.concatenate([value[again], value[heads][h]]), "low": np.concatenate([low[again], np.zeros(len(h), np.int64)]), "windows": np.concatenate([size[again], np.zeros(len(h), np.int64)]).astype(np.int32), "hot": np.concatenate([np.repeat(hot, entries)[again], np.ones(len(h), bool)])})
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for (value, doc, low, size), _ in _entries(batch.column("packed").to_pylist(), 4):
-                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(value), pa.array(low), pa.array(size.astype(np.int32)), pa.nulls(len(doc), pa.bool_())], names=["doc", "hash", "low", "windows", "hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(value), pa.array(low), pa.array(size.astype(np.int32)), pa.nulls(len(doc), pa.bool_())], names=["key", "hash", "low", "windows", "hot"])
 
     return packed.where("bucket >= 0").groupBy("bucket").applyInPandas(bucket, FOUND).union(packed.where("bucket < 0").select("packed").mapInArrow(own, FOUND))
 
 
-MARKS = "doc long, low long, high long"
+MARKS = "doc long, key long, low long, high long"
 
 
 def _window_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -311,7 +320,7 @@ def _window_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def texts_of(joined: DataFrame, n_buckets: int) -> DataFrame:
-    """The runs' texts, dealt by hash (columns hash, doc, low, size); windows of hot runs dealt by their own hash, in buckets from n_buckets on.
+    """The runs' texts, dealt by hash (columns hash, doc, key, low, size); windows of hot runs dealt by their own hash, in buckets from n_buckets on.
 
     Of equal texts of a stretch the earliest is sent on; the later ones' bytes are rows of
     bucket -1, as marks.
@@ -326,81 +335,80 @@ def texts_of(joined: DataFrame, n_buckets: int) -> DataFrame:
         def sent() -> Iterator[tuple[int, bytes]]:
             if marks:
                 m = np.array(sorted(marks), np.int64)
-                yield from _dealt(np.full(len(m), -1), [m[:, 0], m[:, 1], m[:, 2]])
+                yield from _dealt(np.full(len(m), -1), list(m.T))
             if earliest:
                 value = np.array([k[0] for k in earliest], np.int64)
                 at = np.array(list(earliest.values()), np.int64)
                 blobs = [k[1] for k in earliest]
                 bucket = (value.view(U64) % U64(n_buckets)).astype(np.int64)
-                yield from _dealt(bucket, [value, at[:, 0], at[:, 1], np.array([len(b) for b in blobs])], blobs)
+                yield from _dealt(bucket, [value, *at.T, np.array([len(b) for b in blobs])], blobs)
             if windows:
                 key = np.array(list(windows), U64)
                 at = np.array(list(windows.values()), np.int64)
                 bucket = n_buckets + (key[:, 0] % U64(n_buckets)).astype(np.int64)
-                yield from _dealt(bucket, [key[:, 0].view(np.int64), key[:, 1].view(np.int64), at[:, 0], at[:, 1]])
+                yield from _dealt(bucket, [key[:, 0].view(np.int64), key[:, 1].view(np.int64), *at.T])
 
-        def later(table: dict, key, place: tuple[int, int], length: int) -> None:
+        def later(table: dict, key, place: tuple[int, int, int], length: int) -> None:
             have = table.get(key)
             if have is None:
                 table[key] = place
             elif have != place:
                 if place < have:
                     table[key], place = place, have
-                marks.add((place[0], place[1], place[1] + length))
+                marks.add((*place, place[2] + length))
 
         for batch in runs(batches, "text", 1 << 20):
-            for doc, text, found in zip(batch.column("doc").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
+            for doc, own, text, found in zip(*(batch.column(c).to_pylist() for c in ("doc", "key", "text", "runs")), strict=True):
                 raw = (text or "").encode()
                 for r in found:
                     low, n = r["low"], r["windows"]
                     content = raw[low : low + n + LENGTH - 1]
                     if len(content) < LENGTH:
-                        continue  # another text of the same doc_id
+                        continue  # a run of another row, whose key is the same by chance
                     if r["hot"]:
                         for k, key in enumerate(zip(*(x.tolist() for x in _window_hashes(content)), strict=True)):
-                            later(windows, key, (doc, low + k), LENGTH)
-                        size += 40 * n
+                            later(windows, key, (doc, own, low + k), LENGTH)
+                        size += 200 * n
                     else:
-                        later(earliest, (r["hash"], content), (doc, low), len(content))
-                        size += len(content)
+                        later(earliest, (r["hash"], content), (doc, own, low), len(content))
+                        size += 200 + len(content)
             if size >= 16 << 20:
                 yield from _batches(sent())
-                earliest.clear(), windows.clear(), marks.clear()
-                size = 0
+                earliest, windows, marks, size = {}, {}, set(), 0
         yield from _batches(sent())
 
     return joined.mapInArrow(pack, PACKED)
 
 
 def marks_of(packed: DataFrame, n_buckets: int) -> DataFrame:
-    """doc, low, high: bytes that are covered by a window that starts earlier too."""
+    """doc, key, low, high: bytes that are covered by a window that starts earlier too."""
 
     def bucket(pdf):
         import pandas as pd
 
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if int(pdf["bucket"].iloc[0]) >= n_buckets:
-            k1, k2, doc, low = (np.concatenate(x) for x in zip(*(c for c, _ in _entries(pdf["packed"], 4)), strict=True))
-            order = np.lexsort((low, doc, k2, k1))
-            k1, k2, doc, low = k1[order], k2[order], doc[order], low[order]
+            k1, k2, doc, own, low = (np.concatenate(x) for x in zip(*(c for c, _ in _entries(pdf["packed"], 5)), strict=True))
+            order = np.lexsort((low, own, doc, k2, k1))
+            k1, k2, doc, own, low = (x[order] for x in (k1, k2, doc, own, low))
             new = np.ones(len(k1), bool)
             new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
             lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-            later = (doc != doc[lead]) | (low != low[lead])
-            out.append((doc[later], low[later], low[later] + LENGTH))
+            later = (doc != doc[lead]) | (own != own[lead]) | (low != low[lead])
+            out.append((doc[later], own[later], low[later], low[later] + LENGTH))
         else:
             earliest: dict = {}
-            marks: list[tuple[int, int, int]] = []
-            for (value, doc, low, size), blob in _entries(pdf["packed"], 4):
+            marks: list[tuple[int, int, int, int]] = []
+            for (value, doc, own, low, size), blob in _entries(pdf["packed"], 5):
                 at = 0
-                for v, d, s, n in zip(value.tolist(), doc.tolist(), low.tolist(), size.tolist(), strict=True):
-                    content, place = blob[at : at + n], (d, s)
+                for v, d, k, s, n in zip(value.tolist(), doc.tolist(), own.tolist(), low.tolist(), size.tolist(), strict=True):
+                    content, place = blob[at : at + n], (d, k, s)
                     at += n
                     have = earliest.setdefault((v, content), place)
                     if have != place:
                         if place < have:
                             earliest[v, content], place = place, have
-                        marks.append((*place, place[1] + n))
+                        marks.append((*place, place[2] + n))
             # a hash with a single text can repeat only within it
             counts: dict[int, int] = {}
             for v, _ in earliest:
@@ -416,36 +424,42 @@ def marks_of(packed: DataFrame, n_buckets: int) -> DataFrame:
                 for k, starts in enumerate(repeated_windows([c for _, c in part], order)):
                     if len(starts):
                         a, b = covers(starts)
-                        out.append((np.full(len(a), order[k, 0]), a + order[k, 1], b + order[k, 1]))
+                        out.append((np.full(len(a), order[k, 0]), np.full(len(a), order[k, 1]), a + order[k, 2], b + order[k, 2]))
             if marks:
                 out.append(tuple(np.array(marks, np.int64).T))
         if not out:
-            return pd.DataFrame({"doc": np.zeros(0, np.int64), "low": np.zeros(0, np.int64), "high": np.zeros(0, np.int64)})
-        return pd.DataFrame(dict(zip(("doc", "low", "high"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
+            return pd.DataFrame({k: np.zeros(0, np.int64) for k in ("doc", "key", "low", "high")})
+        return pd.DataFrame(dict(zip(("doc", "key", "low", "high"), (np.concatenate(x) for x in zip(*out, strict=True)), strict=True)))
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for columns, _ in _entries(batch.column("packed").to_pylist(), 3):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "low", "high"])
+            for columns, _ in _entries(batch.column("packed").to_pylist(), 4):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "key", "low", "high"])
 
     return packed.where("bucket >= 0").groupBy("bucket").applyInPandas(bucket, MARKS).union(packed.where("bucket < 0").select("packed").mapInArrow(own, MARKS))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null: empty), and what tells rows apart: doc, the doc_id with null as the smallest number, and key, a hash of both."""
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    return known.select("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
+
+
 def removal_spans(docs: DataFrame) -> DataFrame:
-    """doc (doc_id, null as the smallest number) and marks, an array of (low, high) in bytes; documents without marks have no row."""
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    """doc, key (see keyed) and marks, an array of (low, high) in bytes; documents without marks have no row."""
+    texts = keyed(docs).drop("doc_id")
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_buckets = max(8, -(-total // (30 * BUCKET_ENTRIES)))
-    found = materialize(repeated_runs(runs_of(texts, n_buckets)), "runs")
-    hot = found.where("doc is null").select("hash", F.lit(True).alias("is_hot"))
-    every = found.where("doc is not null").join(hot, "hash", "left").select("doc", "hash", "low", "windows", F.coalesce("hot", "is_hot", F.lit(False)).alias("hot"))
-    size = int(found.where("doc is not null").agg(F.sum(F.col("windows") + LENGTH)).first()[0] or 0)
+    found = materialize(repeated_runs(runs_of(texts.select("key", "text"), n_buckets)), "runs")
+    hot = found.where("key is null").select("hash", F.lit(True).alias("is_hot"))
+    every = found.where("key is not null").join(hot, "hash", "left").select("key", "hash", "low", "windows", F.coalesce("hot", "is_hot", F.lit(False)).alias("hot"))
+    size = int(found.where("key is not null").agg(F.sum(F.col("windows") + LENGTH)).first()[0] or 0)
     n_texts = max(8, -(-size // BUCKET_BYTES))
-    by_doc = every.groupBy("doc").agg(F.collect_list(F.struct("low", "windows", "hash", "hot")).alias("runs"))
-    joined = texts.join(by_doc.hint("shuffle_hash"), "doc")
+    by_row = every.groupBy("key").agg(F.collect_list(F.struct("low", "windows", "hash", "hot")).alias("runs"))
+    joined = texts.join(by_row.hint("shuffle_hash"), "key")
     marks = materialize(marks_of(texts_of(joined, n_texts), n_texts), "marks")
     forget(found)
-    return marks.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
+    return marks.groupBy("doc", "key").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
 
 
 REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:long,high:long>>"
@@ -453,12 +467,11 @@ REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and spans (bytes removed); one row for each row of docs."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    joined = texts.join(removal_spans(docs).hint("shuffle_hash"), "doc", "left").select("doc_id", "text", "marks")
+    joined = keyed(docs).join(removal_spans(docs).hint("shuffle_hash"), ["doc", "key"], "left").select("doc_id", "text", "marks")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
-        for batch in runs(batches, "text", 4 << 20):
+        for batch in runs(batches, "text", 1 << 20):
             rows = []
             for text, marks in zip(batch.column("text").to_pylist(), batch.column("marks").to_pylist(), strict=True):
                 raw = text.encode()

@@ -119,7 +119,7 @@ def measures(text: str, hits: list[tuple[int, int, float]]) -> tuple[float, floa
 
 def _word_rows(batches: Iterator[pa.RecordBatch], around: frozenset[str] | None = None) -> Iterator[pa.RecordBatch]:
     """Each row's distinct words, with three keys that near copies mostly share; with `around`, its pairs of words of which one is in it."""
-    for batch in runs(batches, "text", 4 << 20):
+    for batch in runs(batches, "text", 1 << 18):
         words, toxic, keys = [], [], []
         for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
             found = WORD.findall(fold(text or ""))
@@ -206,7 +206,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float, float]:
 
 def _sample_measures(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[pa.RecordBatch]:
     automaton = lexicon.automaton()
-    for batch in runs(batches, "text", 4 << 20):
+    for batch in runs(batches, "text", 1 << 20):
         rows = [measures(t or "", matches(automaton, fold(t or ""))) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows]) for k in range(3)), batch.column("toxic").cast(pa.int32())], names=["a", "b", "c", "toxic"])
 
@@ -223,7 +223,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("weight", pa.float64())]))
-        for batch in runs(batches, "text", 4 << 20):
+        for batch in runs(batches, "text", 1 << 20):
             scores, found = [], []
             for text in batch.column("text").to_pylist():
                 hits = matches(automaton, fold(text or ""))
@@ -244,7 +244,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon, threshold: float = 0.5) -> Dat
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for batch in runs(batches, "text", 4 << 20):
+        for batch in runs(batches, "text", 1 << 20):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             yield passed(batch, keep=[score_of(lexicon, t, matches(automaton, fold(t))) < threshold for t in texts])
 

@@ -133,14 +133,15 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     part = "".join(chr(97 + rng.randrange(26)) for _ in range(400))
     texts = ["Ha " * 45, "Ha " * 34, "a" * 3000, part[:150] + "é" * 80 + part[100:300], part[50:260], None, "", "é" * 60 + part[:99], "b" * 100, "b" * 101, ("qrstuv" * 40)[:170]]
     texts += [str(j) * 7 + part[:180] + str(j) * 9 for j in range(20)] + [phrase(rng, 3000)]
-    rows = list(enumerate(texts)) + [(3, texts[3]), (None, part)]
-    order = sorted(set(rows), key=lambda r: (-1 if r[0] is None else r[0]))
+    rows = list(enumerate(texts)) + [(3, texts[3]), (None, part), (None, part[200:] + "c" * 30 + part[200:]), (None, phrase(rng, 90)), (4, "z" * 9 + part[20:220]), (4, texts[-1][:300])]
+    keys = {(r["doc_id"], r["text"]): (r["doc"], r["key"]) for r in suffix_dedup.keyed(table(spark, rows)).collect()}
+    order = sorted(set(rows), key=lambda r: keys[r[0], r[1] or ""])
     seen, want = {}, set()
     for i, t in order:
         raw = (t or "").encode()
         gone = np.zeros(len(raw), bool)
         for k in range(len(raw) - 99):
-            if seen.setdefault(raw[k : k + 100], (i, k)) != (i, k):
+            if seen.setdefault(raw[k : k + 100], (i, t, k)) != (i, t, k):
                 gone[k : k + 100] = True
         edges = np.flatnonzero(np.diff(np.concatenate([[0], gone, [0]]).astype(int)))
         kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
