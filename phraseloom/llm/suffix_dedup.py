@@ -193,6 +193,12 @@ def repeated_windows(texts: list[bytes], order: np.ndarray, length: int = LENGTH
     return out
 
 
+def may_repeat(text: bytes, length: int = LENGTH) -> bool:
+    """Whether a window may stand twice in the text: it would hold a whole block of those that the text is cut into, and this would stand twice."""
+    size = length // 3
+    return any(text.find(text[k : k + size], k + 1) >= 0 for k in range(0, len(text) - size, size))
+
+
 def covers(starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the union of [x, x + length) over ascending starts."""
     if not len(starts):
@@ -413,7 +419,7 @@ def marks_of(packed: DataFrame, n_buckets: int) -> DataFrame:
             counts: dict[int, int] = {}
             for v, _ in earliest:
                 counts[v] = counts.get(v, 0) + 1
-            kept = [(v, c) for v, c in earliest if counts[v] > 1 or len(c) > LENGTH]
+            kept = [(v, c) for v, c in earliest if counts[v] > 1 or len(c) > LENGTH and may_repeat(c)]
             # by shares of the hashes, so that the arrays of a sort stay small
             n_parts = 1 + sum(len(c) for _, c in kept) // SORT_BYTES
             for share in range(n_parts):

@@ -126,6 +126,15 @@ def test_suffix_array():
         assert suffix_dedup.suffix_array(np.array(s, np.int64)).tolist() == sorted(range(len(s)), key=lambda i: s[i:])
 
 
+def test_may_repeat():
+    rng = random.Random(8)
+    for _ in range(400):
+        part = bytes(rng.randrange(97, 100) for _ in range(rng.randint(1, 160)))
+        text = bytes(rng.randrange(97, 123) for _ in range(rng.randint(0, 60))) + part * rng.randint(1, 4) + b"xyz" * rng.randint(0, 3) + part[: rng.randint(0, 160)]
+        windows = [text[k : k + 100] for k in range(len(text) - 99)]
+        assert suffix_dedup.may_repeat(text) or len(set(windows)) == len(windows)
+
+
 @pytest.mark.parametrize("hot", [20_000, 5])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
