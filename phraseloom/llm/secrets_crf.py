@@ -14,6 +14,7 @@ tagged run that overlaps a base span is dropped; others are spans of kind `crf`.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, passed, runs, spans_of, text_bytes, word_hashes
+from .common import forget, materialize, U64, passed, runs, spans_of, text_bytes, word_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"(?ai:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -41,6 +42,10 @@ N_LENGTH, N_DIGIT, N_UPPER, N_KIND = len(LENGTHS) + 1, 5, 4, 4
 N_BEFORE, N_WORDS, N_FILE = 6, 1024, 5
 GROUPS = (N_LENGTH, N_DIGIT, N_UPPER, N_KIND, N_LENGTH * N_KIND, N_BEFORE, N_WORDS, N_FILE, N_BEFORE * N_KIND)
 STARTS = np.concatenate([[0], np.cumsum(GROUPS)])
+#: Stands for all features of a token that is not there
+PADDING = int(STARTS[-1])
+#: Of windows without a base span one in so many is kept
+OTHERS = 16
 OUT, BEGIN, INSIDE = 0, 1, 2
 NEVER = -1e4
 
@@ -177,8 +182,10 @@ def scan(model: Model, column: pa.Array) -> list[list[tuple[str, int, int]]]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Windows of `width` tokens with their features and tags: all that hold a base span, and as many others."""
-    feats, tags = [], []
+    """Windows of `width` tokens of one text with their features and tags: all that hold a base span, and of the others one in OTHERS by a hash.
+
+    A text's last window is filled up with PADDING. What a text gives does not depend on others.
+    """
     for batch in runs(batches, "text", 1 << 20):
         column = batch.column("text")
         data, offsets = text_bytes(column)
@@ -199,25 +206,33 @@ def _windows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Recor
                     inside = np.arange(lo, hi)[(starts[lo:hi] < z) & (ends[lo:hi] > b)]
                     y[inside] = INSIDE
                     y[inside[:1]] = BEGIN
-        n = len(starts) // width
-        if not n:
-            continue
-        f, t = own[: n * width].reshape(n, width, -1), y[: n * width].reshape(n, width)
-        has = np.flatnonzero((t > 0).any(1))
-        rest = np.flatnonzero(~(t > 0).any(1))
-        rest = rest[:: max(1, len(rest) // max(16, 2 * len(has)))]
-        keep = np.sort(np.concatenate([has, rest]))
-        feats += [x.tobytes() for x in f[keep]]
-        tags += [x.astype(np.int8).tobytes() for x in t[keep]]
-    if feats:
-        yield pa.RecordBatch.from_arrays([pa.array(feats, pa.binary()), pa.array(tags, pa.binary())], names=["feats", "tags"])
+        feats, tags, holds = [], [], []
+        edges = np.searchsorted(rows, np.arange(batch.num_rows + 1))
+        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            for at in range(lo, hi, width):
+                to = min(at + width, hi)
+                f = np.full((width, own.shape[1]), PADDING, np.int32)
+                f[: to - at] = own[at:to]
+                t = np.zeros(width, np.int8)
+                t[: to - at] = y[at:to]
+                if t.any() or zlib.crc32(f.tobytes()) % OTHERS == 0:
+                    feats.append(f.tobytes())
+                    tags.append(t.tobytes())
+                    holds.append(bool(t.any()))
+        yield pa.RecordBatch.from_arrays([pa.array(feats, pa.binary()), pa.array(tags, pa.binary()), pa.array(holds, pa.bool_())], names=["feats", "tags", "holds"])
 
 
 def fit(docs: DataFrame, max_rows: int = 4000, max_windows: int = 4000, width: int = 24, rounds: int = 80) -> Model:
-    """Fits the field to at most max_windows windows of at most max_rows documents, taken by a hash of doc_id."""
+    """Fits the field to at most max_windows windows of at most max_rows documents, taken by a hash of doc_id.
+
+    Windows with and without a base span are at most half of max_windows each, the first by a
+    hash. The fit depends on the rows alone, not on how they are dealt to files and batches.
+    """
     ids = docs.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("text")
-    rows = sample.mapInArrow(lambda b: _windows(b, width), "feats binary, tags binary").orderBy(F.xxhash64("feats"), "feats", "tags").limit(max_windows).collect()
+    found = materialize(sample.mapInArrow(lambda b: _windows(b, width), "feats binary, tags binary, holds boolean"), "windows")
+    rows = [r for holds in (True, False) for r in found.where(F.col("holds") == holds).orderBy(F.xxhash64("feats"), "feats", "tags").limit(max_windows // 2).collect()]
+    forget(found)
     n = len(rows)
     x = np.frombuffer(b"".join(r["feats"] for r in rows), np.int32).reshape(n, width, len(GROUPS))
     y = np.frombuffer(b"".join(r["tags"] for r in rows), np.int8).reshape(n, width).astype(np.int64)
@@ -227,7 +242,7 @@ def fit(docs: DataFrame, max_rows: int = 4000, max_windows: int = 4000, width: i
 def train(x: np.ndarray, y: np.ndarray, rounds: int, rate: float = 0.15, ridge: float = 2e-4) -> Model:
     """Adam on the negative log likelihood of the windows; forward and backward sums in log space."""
     n, width = y.shape
-    weights, pairs, first = np.zeros((STARTS[-1], 3)), np.zeros((3, 3)), np.zeros(3)
+    weights, pairs, first = np.zeros((PADDING + 1, 3)), np.zeros((3, 3)), np.zeros(3)
     bar = np.zeros((3, 3))
     bar[OUT, INSIDE] = NEVER
     bar_first = np.array([0.0, 0.0, NEVER])
@@ -264,7 +279,7 @@ def train(x: np.ndarray, y: np.ndarray, rounds: int, rate: float = 0.15, ridge:
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     if not n:
         weights[:, OUT] = 1.0
-    return Model(weights, pairs + bar, first + bar_first)
+    return Model(weights[:PADDING], pairs + bar, first + bar_first)
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
