@@ -1,7 +1,8 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Each source's words are laid out in one line, documents by a hash of doc_id, and packed into
-blocks of a fixed number of words. The mix is a row of slots in shards of a fixed size. Each
+blocks of a fixed number of words: BLOCK, in sources of fewer than 64 such blocks less, so that
+there a block is no large part of the target. The mix is a row of slots in shards of a fixed size. Each
 shard draws how many of its slots each source gets (a multinomial: every slot draws a uniform
 number); draws beyond a source's quota go to the sources that fall short, in order. A source's
 k-th slot reads the block that a pseudorandom permutation of its block numbers gives for k; a
@@ -28,6 +29,8 @@ WEIGHTS = (3, 1, 2)
 ROUNDS = 16
 #: Rows of a source that one salt holds, on average
 SALT_ROWS = 4096
+#: Slots that one task permutes; a number of partitions is stated, as small rows would be put into one
+SLOTS = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -74,7 +77,7 @@ def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     Rows are dealt to salts, so that no task holds a whole source: a row's place is the sum of
     the salts before its own and of the rows before it in its salt.
     """
-    small = sources.select(F.col("source").alias("_source"), "source_size", "target", "source_no", "n_blocks", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / SALT_ROWS)).alias("n_salts"))
+    small = sources.select(F.col("source").alias("_source"), "source_size", "target", "source_no", "n_blocks", "length", F.greatest(F.lit(1), F.ceil(F.col("n_rows") / SALT_ROWS)).alias("n_salts"))
     rows = sizes.join(small, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
     order = F.xxhash64(F.lit(7), F.col("doc_id"))
     rows = rows.withColumn("_order", order).withColumn("_salt", F.pmod(F.xxhash64(F.lit(11), F.col("doc_id")), F.col("n_salts")))
@@ -83,7 +86,7 @@ def laid_out(sizes: DataFrame, sources: DataFrame) -> DataFrame:
     salts = salts.select(F.col("source_no").alias("_no"), F.col("_salt").alias("_s"), before.alias("_before"))
     inside = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "_salt").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = rows.withColumn("_inside", inside).join(salts, (F.col("source_no") == F.col("_no")) & (F.col("_salt") == F.col("_s")))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "source_no", "n_blocks", (F.col("_before") + F.col("_inside")).alias("begin"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "source_no", "n_blocks", "length", (F.col("_before") + F.col("_inside")).alias("begin"))
 
 
 def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
@@ -91,7 +94,9 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1)
     spark = docs.sparkSession
     sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
     sources = targets(sizes).withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
-    n_blocks = F.ceil(F.col("source_size") / block)
+    length = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.col("source_size") / 64))).cast("long")
+    sources = sources.withColumn("length", length)
+    n_blocks = F.ceil(F.col("source_size") / F.col("length"))
     quota = F.when(F.col("source_size") == 0, F.lit(0)).otherwise(F.round(F.col("target") / F.col("source_size") * n_blocks)).cast("long")
     sources = materialize(sources.withColumn("n_blocks", n_blocks.cast("long")).withColumn("quota", quota), "mix-sources")
     slots = int(sources.agg(F.sum("quota")).first()[0] or 0)
@@ -121,14 +126,14 @@ def mix(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1)
     inside = counts.join(fixed, "source_no").select("source_no", "n_blocks", F.col("at").alias("low"), F.least(F.col("at") + F.col("n"), F.col("quota")).alias("high")).where("high > low")
     # as many slots are overdrawn in all as fall short in all, so the short ones take their last places
     short = fixed.where("quota > drawn").select("source_no", "n_blocks", F.explode(F.sequence(F.col("drawn"), F.col("quota") - 1, F.lit(shard))).alias("low"), "quota").select("source_no", "n_blocks", "low", F.least(F.col("low") + shard, F.col("quota")).alias("high"))
-    taken = inside.union(short).repartition("source_no", "low").select("source_no", "n_blocks", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
+    taken = inside.union(short).repartition(max(1, slots // SLOTS), "source_no", "low").select("source_no", "n_blocks", F.explode(F.sequence("low", F.col("high") - 1)).alias("k"))
     chosen = permuted(F.col("k") % F.col("n_blocks"), F.col("n_blocks"), F.xxhash64(F.lit(seed), "source_no", F.floor(F.col("k") / F.col("n_blocks"))))
     uses = taken.select("source_no", chosen.alias("block")).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
 
     rows = materialize(laid_out(sizes, sources), "mix-rows")
-    last = F.floor((F.col("begin") + F.col("size") - 1) / block)
-    parts = rows.where("size > 0").select("source_no", "begin", "size", "doc_id", F.explode(F.sequence(F.floor(F.col("begin") / block), last)).alias("block"))
-    overlap = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * block) - F.greatest("begin", F.col("block") * block)
+    last = F.floor((F.col("begin") + F.col("size") - 1) / F.col("length"))
+    parts = rows.where("size > 0").select("source_no", "begin", "size", "length", F.explode(F.sequence(F.floor(F.col("begin") / F.col("length")), last)).alias("block"))
+    overlap = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("length")) - F.greatest("begin", F.col("block") * F.col("length"))
     parts = parts.select("source_no", "begin", "block", overlap.alias("words"))
     got = parts.join(uses, ["source_no", "block"]).groupBy("source_no", "begin").agg(F.sum(F.col("words") * F.col("uses")).alias("got"))
     got = got.select(F.col("source_no").alias("_no"), F.col("begin").alias("_begin"), "got")
