@@ -20,7 +20,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = toxicity.fit(docs, toxicity.learnable(table(spark, sf_dir, "labels")))
-    return toxicity.score(docs, lexicon).select("doc_id", (fold_of(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("matches").alias("n_matches"))
+    return toxicity.score(docs, lexicon).select("doc_id", F.coalesce(fold_of(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("matches").alias("n_matches"))
 
 
 def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def op4_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(langid.learnable(docs)))
-    return found.select("doc_id", (fold_of(3) == 1).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+    return found.select("doc_id", F.coalesce(fold_of(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,7 +104,7 @@ _HOST = rf"regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract({_R
 _QUERY = rf"array_to_string(list_sort(list_filter(string_split(regexp_extract({_REST}, '^[^?]*\?(.*)$', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)'))), '&')"
 
 OP10_SQL = rf"""
-WITH p AS (SELECT page_id AS k, html, url LIKE '%?%' AS dated, strlen(html) AS n, md5(html) AS m, ('0x' || substr(md5(url), 1, 4))::BIGINT AS again,
+WITH p AS (SELECT page_id AS k, html, url LIKE '%?%' AS dated, strlen(html) AS n, md5(html) AS m, greatest(0, page_id + ('0x' || substr(md5(url), 1, 4))::BIGINT - 16384) AS again,
   {_HOST} || regexp_replace(regexp_extract({_REST}, '^[^/?]*([^?]*)', 1), '/+$', '') || CASE WHEN {_QUERY} <> '' THEN '?' || {_QUERY} ELSE '' END AS c FROM pages),
 v AS (SELECT a.k, a.c, a.again, a.dated, a.m, max_by(b.k, b.k) AS r FROM p a LEFT JOIN p b ON a.c = b.c AND b.k < a.again GROUP BY ALL),
 j AS (SELECT v.*, b.n, b.html, CASE WHEN v.r IS NULL THEN 'unresolved' WHEN v.dated AND b.dated AND v.k = b.k OR NOT v.dated AND NOT b.dated AND v.m = b.m THEN 'resolved' ELSE 'mismatch' END AS status FROM v LEFT JOIN p b ON v.r = b.k)

@@ -7,13 +7,19 @@ of the full response; the others stay.
 
 Null URLs match nothing. Of responses at the same time the one with the larger record id
 counts as the later; a response at the revisit's own time is not earlier. Repeated rows each
-resolve alike. Records that cannot be read have a row with `error` set.
+resolve alike. Records that cannot be read have a row with `error` set, and reading goes on at the
+next one. Files may be gzipped, a member a record. Times are whole seconds; fractions and missing
+parts of a date are cut off. Empty tables and files give no rows; columns other than the named
+ones are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import calendar
 import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +32,7 @@ from .common import materialize
 RENEWED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified", "age", "server", "set-cookie")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 BUCKET_S = 4096
+MOST_SECONDS = 1 << 37
 
 
 def canonical(url: Column) -> Column:
@@ -61,10 +68,39 @@ def _fields(block: bytes) -> tuple[str, list[tuple[str, str]]]:
     return lines[0], [(k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in lines[1:] if x)]
 
 
-def parse(data: bytes) -> Iterator[dict]:
-    """The records of a WARC file; after a record that cannot be read, one with `error`, and no more."""
-    from datetime import UTC, datetime
+DATE = re.compile(r"([0-9]{4})(?:-([0-9]{2})(?:-([0-9]{2})(?:T([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.][0-9]+)?)?Z)?)?)?")
+
+
+def seconds_of(date: str) -> int:
+    """Seconds since 1970 of a date of WARC/1.1, of any precision."""
+    m = DATE.fullmatch(date.strip())
+    if not m:
+        raise ValueError("the date is wrong")
+    part = [int(x) if x else least for x, least in zip(m.groups(), (1970, 1, 1, 0, 0, 0), strict=True)]
+    if not (1 <= part[1] <= 12 and 1 <= part[2] <= calendar.monthrange(part[0], part[1])[1] and part[3] < 24 and part[4] < 60 and part[5] <= 60):
+        raise ValueError("the date is wrong")
+    return calendar.timegm((*part, 0, 0, 0))
+
 
+def unzipped(data: bytes) -> bytes:
+    """The bytes of a file's gzip members; of one that is damaged what can be read of it, and on with the next."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    out, at = [], 0
+    while at >= 0:
+        member = zlib.decompressobj(31)
+        rest = memoryview(data)[at:]
+        try:
+            out.append(member.decompress(rest))
+            at = len(data) - len(member.unused_data) if member.eof and member.unused_data else -1
+        except zlib.error:
+            at = data.find(b"\x1f\x8b\x08", at + 1)
+    return b"".join(out)
+
+
+def parse(data: bytes) -> Iterator[dict]:
+    """The records of a WARC file; for one that cannot be read one with `error`."""
+    data = unzipped(data)
     at = 0
     while at < len(data):
         try:
@@ -85,13 +121,14 @@ def parse(data: bytes) -> Iterator[dict]:
                 merged[k] = f"{merged[k]}, {v}" if k in merged else v
             if head["warc-type"] == "response" and "warc-payload-digest" in head and head["warc-payload-digest"].startswith("sha1:") and payload_digest(body) != head["warc-payload-digest"]:
                 raise ValueError("the payload digest is wrong")
-            time = int(datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
+            time = seconds_of(head["warc-date"])
             status = http.split(" ")
             yield {"record_id": head["warc-record-id"].strip("<>"), "type": head["warc-type"], "url": head.get("warc-target-uri"), "seconds": time, "profile": head.get("warc-profile"), "status": int(status[1]) if len(status) > 1 and status[1].isdigit() else None, "headers": merged, "digest": head.get("warc-payload-digest"), "body_sha256": hashlib.sha256(body).hexdigest(), "body_bytes": len(body), "error": None}
             at = end + 8 + size
         except (ValueError, KeyError) as e:
             yield {"record_id": None, "type": None, "url": None, "seconds": None, "profile": None, "status": None, "headers": {}, "digest": None, "body_sha256": None, "body_bytes": None, "error": f"{type(e).__name__}: {e} at byte {at}"}
-            return
+            further = data.find(b"\r\n\r\nWARC/1.", at)
+            at = further + 4 if further >= 0 else len(data)
 
 
 RECORDS = "record_id string, type string, url string, seconds long, profile string, status int, headers map<string,string>, digest string, body_sha256 string, body_bytes long, error string"
@@ -152,8 +189,9 @@ def resolve(records: DataFrame, bucket_s: int = BUCKET_S) -> DataFrame:
 def captures(pages: DataFrame) -> DataFrame:
     """A WARC file of each page: its capture at second page_id, and a later or earlier conditional request for it.
 
-    The request's time is a hash of the URL, so some come before the capture. Pages whose URL
-    has parameters give Last-Modified and no entity tag.
+    The request's time is page_id and a hash of the URL less 16,384, at least 0, so some come
+    before the capture. Seconds are modulo 2 ** 37, as dates have years of four digits. Pages
+    whose URL has parameters give Last-Modified and no entity tag; a null page_id is at 0.
     """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +200,13 @@ def captures(pages: DataFrame) -> DataFrame:
                 part = batch.slice(at, 256)
                 out = []
                 for key, url, html in zip(*(part.column(k).to_pylist() for k in ("page_id", "url", "html")), strict=True):
-                    url, body, key = url or "", (html or "").encode(), key or 0
+                    url, body, name, key = url or "", (html or "").encode(), "null" if key is None else key, (key or 0) % MOST_SECONDS
                     mark = hashlib.md5(body).hexdigest()
-                    checked = [("Last-Modified", f"v{key}")] if "?" in url else [("ETag", f'"{mark}"')]
-                    seconds = int(hashlib.md5(url.encode()).hexdigest()[:4], 16)
+                    checked = [("Last-Modified", f"v{name}")] if "?" in url else [("ETag", f'"{mark}"')]
+                    seconds = max(0, key + int(hashlib.md5(url.encode()).hexdigest()[:4], 16) - 16384)
                     own = [("Content-Type", "text/html"), ("Content-Length", str(len(body))), ("Cache-Control", "max-age=60"), *checked]
                     again = [("Cache-Control", f"max-age={key % 7}"), ("Content-Length", "0"), *[(k, "W/" + v if k == "ETag" else v) for k, v in checked]]
-                    out.append(record("response", f"r:{key}", url, key, own, body) + record("revisit", f"v:{key}", url, seconds, again))
+                    out.append(record("response", f"r:{name}", url, key, own, body) + record("revisit", f"v:{name}", url, seconds, again))
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["content"])
 
     return pages.select("page_id", "url", "html").mapInArrow(written, "content binary")
