@@ -8,7 +8,8 @@ first learns from labels; so ORACLE_SQL is None, and tests compare with plain ve
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from phraseloom.llm import fm_index, mixture, ngram_join, secrets_crf, toxicity
 from phraseloom.llm.common import materialize, table
@@ -20,10 +21,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id, once; rows without doc_id stay."""
+    """Of each group of near duplicates the document with the smallest doc_id; rows without doc_id stay. Of rows with one doc_id the first by text stays."""
     later = ngram_join.near_duplicates(docs).where("component_id < doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").join(later, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return known.select(docs.columns).union(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null").join(later, "doc_id", "left_anti")
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(*(F.col(c) for c in ("text", *docs.columns) if c != "doc_id")))
+    return known.select(*docs.columns, first.alias("_first")).where("_first = 1").select(docs.columns).union(docs.where("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
