@@ -349,6 +349,43 @@ def request_timeouts(spark, sf_dir):
     return found.select("id", "error", F.col("received").isNotNull().alias("answered"))
 
 
+_SENT = "SELECT event_id AS id, user_id AS worker, epoch_us(ts) AS s, CASE WHEN event_id % 3 <> 0 THEN epoch_us(ts) + (event_id % 7) * 1200000000 END AS r FROM events"
+
+
+@query(f"WITH RECURSIVE a AS (SELECT *, r IS NOT NULL AND r <= s + 3600000000 AS ok FROM ({_SENT})), f AS (SELECT worker, min(s) + 3600000000 AS at FROM a WHERE NOT ok GROUP BY worker UNION ALL SELECT f.worker, min(a.s) + 3600000000 FROM f JOIN a ON a.worker = f.worker AND NOT a.ok AND a.s >= f.at GROUP BY f.worker), dead AS (SELECT DISTINCT a.id FROM a JOIN f ON a.worker = f.worker AND a.s < f.at AND CASE WHEN ok THEN r ELSE s + 3600000000 END > f.at) SELECT id, CASE WHEN id IN (SELECT id FROM dead) THEN 'rejected' WHEN NOT ok THEN 'timeout' END AS error FROM a")
+def request_rejections(spark, sf_dir):
+    """Each user a worker whose requests wait an hour: a timeout also rejects what is pending, and what is rejected fires no timeout."""
+    e = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("worker"), F.col("ts").alias("sent"))
+    responses = e.where("id % 3 <> 0").select("id", F.timestamp_add("SECOND", F.col("id") % 7 * 1200, F.col("sent")).alias("received"), F.array(F.array(F.lit(1))).alias("offsets"), F.lit(None).cast("string").alias("error"))
+    answers = refresh.answered(e, responses, "1 hour").join(e.select("id", "worker"), "id")
+    return refresh.rejected_with(answers, "1 hour", "worker").select("id", "error")
+
+
+@query("SELECT doc_id, substring(t, 1, 2) AS a, substring(t, 3, 3) AS b, substring(t, 6) AS c FROM (SELECT doc_id, '𠀀' || chr(57344) || text AS t FROM documents WHERE length(text) >= 5)")
+def fragments_beyond_u_ffff(spark, sf_dir):
+    """Texts cut at UTF-16 offsets behind a letter of two units and a private-use one."""
+    rows = _docs(spark, sf_dir).where(F.length("text") >= 5).select("doc_id", F.concat(F.lit("𠀀\ue000"), "text").alias("t"))
+    parts = rows.select("doc_id", writeback.fragments(F.col("t"), F.array(F.lit(3), F.lit(6))).alias("p"))
+    return parts.select("doc_id", *(F.element_at("p", k + 1).alias(c) for k, c in enumerate("abc")))
+
+
+@query("SELECT doc_id, ['价格' || chr(57344) || '1，000元，', substring(text, 1, 3)] AS clauses FROM (SELECT doc_id, regexp_replace(text, '[^A-Za-z]', '', 'g') AS text FROM documents) WHERE length(text) >= 3")
+def clauses_with_private_use(spark, sf_dir):
+    """A comma inside a number ends no clause, whatever else the text holds."""
+    rows = _docs(spark, sf_dir).select("doc_id", F.regexp_replace("text", "[^A-Za-z]", "").alias("t")).where(F.length("t") >= 3)
+    return rows.select("doc_id", T.split_clauses(F.concat(F.lit("价格\ue0001，000元，"), F.substring("t", 1, 3))).alias("clauses"))
+
+
+@query("SELECT page_id, unnest([0, 1, 2, 3])::INT AS idx, unnest(['shown', 'again', 'p' || page_id, 'last']) AS text FROM pages")
+def hidden_texts(spark, sf_dir):
+    """Pages put together of parts that show and parts that do not: visibility passes on until an element sets it anew."""
+    html = F.concat(
+        F.lit("<div>shown<p style='visibility: hidden'>no<b>no</b><i style='VISIBILITY:visible'>again</i></p><u style='visibility:collapse'>no</u>"), F.lit("<section hidden>no<em style='visibility:visible'>no</em></section><p>p"),
+        F.col("page_id").cast("string"), F.lit("</p><code>no</code><a aria-hidden='true'>no</a><q contenteditable>no</q><s style='opacity: 0'>no</s>last</div>"),
+    )
+    return dom.page_texts(_table(spark, sf_dir, "pages").select("page_id", html.alias("html")), han_only=False).select("page_id", "idx", "text")
+
+
 @query("SELECT 'd/' || doc_id AS key, strlen(text)::BIGINT AS bytes, sha256(text) AS sha256 FROM documents")
 def release_manifest(spark, sf_dir):
     return files.manifest(_docs(spark, sf_dir).select(F.concat(F.lit("d/"), F.col("doc_id")).alias("key"), F.col("text").alias("content")))

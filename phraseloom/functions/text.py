@@ -21,6 +21,8 @@ LATIN_WORD = "[A-Za-zＡ-Ｚａ-ｚ]+"
 MASK = ""
 HAN = r"\p{IsHan}"
 DIVIDER = "｜"
+# Fixed value: what plain copy may not hold.
+RICH_TEXT = r"[<>\[\]*_`\\\r\n]|&(?:#\w+|\w+);"
 #: A stand-in for Chinese text: letters and stops of other text as Han letters and Chinese stops.
 PLAIN = "abcdefghijklmnopqrstuvwxyz.,;!?"
 PROJECTED = "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄。，；！？"
@@ -45,27 +47,33 @@ def contains_han(text: Column) -> Column:
 
 
 def masked_numeric_commas(text: Column) -> Column:
-    """The text with a private-use mark for each `，` between two numbers of one line."""
-    once = F.regexp_replace(text, NUMERIC_COMMA, f"$1{MASK}$2")
-    return F.when(text.contains("，"), once).otherwise(text)
+    """The text with two characters for each `，` between two numbers of one line: MASK and `b`; a MASK of the text gets an `a`, so that `unmasked` finds the text again."""
+    once = F.regexp_replace(F.replace(text, F.lit(MASK), F.lit(MASK + "a")), NUMERIC_COMMA, f"$1{MASK}b$2")
+    return F.when(text.contains("，"), once).otherwise(F.replace(text, F.lit(MASK), F.lit(MASK + "a")))
+
+
+def unmasked(text: Column) -> Column:
+    return F.replace(F.replace(text, F.lit(MASK + "b"), F.lit("，")), F.lit(MASK + "a"), F.lit(MASK))
 
 
 def split_clauses(text: Column) -> Column:
     """Clauses: what is between ends, each with the whole run of ends after it. Their concatenation is the text."""
     pattern = F.lit(f"[^{ENDS}]*[{ENDS}]+|[^{ENDS}]+")
-    unmasked = lambda parts: F.transform(parts, lambda p: F.replace(p, F.lit(MASK), F.lit("，")))
-    return let(text, lambda t: F.when(t.contains("，") & ~t.contains(MASK), unmasked(F.regexp_extract_all(masked_numeric_commas(t), pattern, F.lit(0)))).otherwise(F.regexp_extract_all(t, pattern, F.lit(0))))
+    masked = lambda t: F.transform(F.regexp_extract_all(masked_numeric_commas(t), pattern, F.lit(0)), unmasked)
+    return let(text, lambda t: F.when(t.contains("，"), masked(t)).otherwise(F.regexp_extract_all(t, pattern, F.lit(0))))
 
 
 def boundary_offsets(text: Column) -> Column:
-    """UTF-16 offsets of `，。！？；…` and line ends, without commas inside numbers."""
-    before = let(text, lambda t: F.regexp_extract_all(masked_numeric_commas(t), F.lit(f"[^{PROXIES}{LINE_ENDS}]*[{PROXIES}{LINE_ENDS}]"), F.lit(0)))
-    return let(F.transform(before, utf16_length), lambda ends: F.transform(ends, lambda _, i: F.aggregate(F.slice(ends, 1, i + 1), F.lit(0), lambda a, x: a + x) - 1))
+    """UTF-16 offsets of `，。！？；…` and line ends, without commas inside numbers. One running sum over the parts."""
+    before = let(text, lambda t: F.transform(F.regexp_extract_all(masked_numeric_commas(t), F.lit(f"[^{PROXIES}{LINE_ENDS}]*[{PROXIES}{LINE_ENDS}]"), F.lit(0)), unmasked))
+    step = lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["ends"], s["at"] + n - 1).alias("ends"))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    return F.aggregate(F.transform(before, utf16_length), start, step, lambda s: s["ends"])
 
 
 def visual_length(text: Column) -> Column:
-    """Han letters, numbers and Latin words."""
-    return F.regexp_count(text, F.lit(HAN)) + F.regexp_count(text, F.lit(NUMERIC_EXPRESSION)) + F.regexp_count(text, F.lit(LATIN_WORD))
+    """Han letters, numbers and Latin words. Letters are counted by what their removal takes, without an array of them."""
+    return F.length(text) - F.length(F.regexp_replace(text, HAN, "")) + F.regexp_count(text, F.lit(NUMERIC_EXPRESSION)) + F.regexp_count(text, F.lit(LATIN_WORD))
 
 
 def adjacent_han(text: Column) -> Column:
@@ -77,14 +85,23 @@ def adjacent_han(text: Column) -> Column:
 
 def joined_at(text: Column, offsets: Column, mark: str = DIVIDER) -> Column:
     """The text with a mark at each of the ascending code-point offsets."""
-    part = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
-    cut = lambda t, o: F.zip_with(F.concat(F.array(F.lit(0)), o), F.concat(o, F.array(F.length(t))), lambda a, b: part(t, a, b))
-    return let(text, lambda t: let(offsets.cast("array<int>"), lambda o: F.array_join(cut(t, o), mark)))
+    return F.array_join(slices(text, offsets), mark)
 
 
 def slices(text: Column, offsets: Column) -> Column:
     """The parts of the text between ascending code-point offsets."""
-    return F.split(joined_at(text, offsets, MASK), MASK)
+    part = lambda t, a, b: F.substring(t, (a + 1).cast("int"), (b - a).cast("int"))
+    cut = lambda t, o: F.zip_with(F.concat(F.array(F.lit(0)), o), F.concat(o, F.array(F.length(t))), lambda a, b: part(t, a, b))
+    return let(text, lambda t: let(offsets.cast("array<int>"), lambda o: cut(t, o)))
+
+
+def utf16_slices(text: Column, offsets: Column) -> Column:
+    """The parts of the text between ascending UTF-16 offsets, none of which parts a surrogate pair.
+
+    A letter beyond U+FFFF gets a filler, so that positions in the widened text are UTF-16 offsets.
+    """
+    wide = F.regexp_replace(text, r"([\x{10000}-\x{10FFFF}])", f"$1{MASK}")
+    return F.transform(slices(wide, offsets), lambda p: F.regexp_replace(p, rf"([\x{{10000}}-\x{{10FFFF}}]){MASK}", "$1"))
 
 
 def divider_spans(marked: Column) -> Column:
@@ -94,4 +111,4 @@ def divider_spans(marked: Column) -> Column:
 
 def plain_copy(text: Column) -> Column:
     """The text; an error if it holds mark-up or several lines."""
-    return F.when(text.rlike(r"[<>\[\]*_`\\\r\n]|&(?:#\w+|\w+);"), F.raise_error(F.lit("plain text of one line is needed"))).otherwise(text)
+    return F.when(text.rlike(RICH_TEXT), F.raise_error(F.lit("plain text of one line is needed"))).otherwise(text)

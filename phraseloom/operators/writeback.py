@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import slices
+from ..functions.text import utf16_slices
 
 
 def unprocessed(nodes: DataFrame, processed: DataFrame) -> DataFrame:
@@ -21,11 +21,12 @@ def remembered(processed: DataFrame, written: DataFrame, forgotten: DataFrame) -
 
 
 def with_results(snapshot: DataFrame, results: DataFrame) -> DataFrame:
-    """Snapshot rows with the offsets of the same snapshot and idx; an error where the numbers of rows differ."""
-    counts = snapshot.groupBy("snapshot_id").agg(F.count("*").alias("_n")).join(results.groupBy("snapshot_id").agg(F.count("*").alias("_m")), "snapshot_id", "full")
-    bad = F.raise_error(F.concat(F.lit("snapshot "), F.col("snapshot_id").cast("string"), F.lit(": as many results as texts are needed")))
-    checked = counts.select("snapshot_id", F.when(F.col("_n").eqNullSafe(F.col("_m")), F.lit(True)).otherwise(bad.cast("boolean")).alias("_ok"))
-    return snapshot.join(checked, "snapshot_id").where("_ok").drop("_ok").join(results.select("snapshot_id", "idx", "offsets"), ["snapshot_id", "idx"])
+    """Snapshot rows with the offsets of the same snapshot and idx; an error where a text has no result or several, or a result no text."""
+    found = results.groupBy("snapshot_id", "idx").agg(F.count("*").alias("_n"), F.first("offsets").alias("offsets"))
+    both = snapshot.withColumn("_text", F.lit(True)).join(found, ["snapshot_id", "idx"], "full")
+    bad = F.raise_error(F.concat(F.lit("snapshot "), F.col("snapshot_id").cast("string"), F.lit(": as many results as texts are needed, one at idx "), F.col("idx").cast("string")))
+    fits = F.when(F.col("_text").isNotNull() & (F.col("_n") == 1), F.lit(True)).otherwise(bad.cast("boolean"))
+    return both.where(fits).select(*snapshot.columns, "offsets")
 
 
 def current(snapshot: DataFrame, live: DataFrame) -> DataFrame:
@@ -35,8 +36,8 @@ def current(snapshot: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def fragments(text: Column, offsets: Column) -> Column:
-    """The parts that markers separate; code-point offsets ascend within the text."""
-    return F.when(F.size(offsets) > 0, slices(text, offsets)).otherwise(F.array(text))
+    """The parts that markers separate; UTF-16 offsets, as `segment` gives them, ascend within the text."""
+    return F.when(F.size(offsets) > 0, utf16_slices(text, offsets)).otherwise(F.array(text))
 
 
 def restored(sequence: Column) -> Column:

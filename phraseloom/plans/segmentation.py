@@ -27,8 +27,9 @@ def clause_offsets(rows: DataFrame, key: str) -> DataFrame:
 
 
 def gated(rows: DataFrame, text: str = "clause") -> DataFrame:
-    """Clauses long enough to score, before any costly operator sees them."""
-    return rows.withColumn("units", T.visual_length(F.col(text))).where(F.col("units") >= N.MIN_UNITS)
+    """Clauses long enough to score, before any costly operator sees them. A generator holds the count, which a filter would otherwise compute again."""
+    one = F.filter(F.array(T.visual_length(F.col(text))), lambda n: n >= N.MIN_UNITS)
+    return rows.select("*", F.explode(one).alias("units"))
 
 
 def letter_scores(clause: Column) -> Column:
@@ -46,7 +47,7 @@ def uniform_cuts(clause: Column) -> Column:
 def page_snapshot(pages: DataFrame, processed: DataFrame | None = None, han_only: bool = True) -> DataFrame:
     """The texts to segment of pages that take part: supported address, no opt-out, not yet processed."""
     taking = pages.where(dom.supports_url(F.col("url")) & ~dom.opted_out(F.col("html")))
-    texts = dom.readable_texts(dom.dom_nodes(taking), han_only)
+    texts = dom.page_texts(taking, han_only)
     return writeback.unprocessed(texts, processed) if processed is not None else texts
 
 

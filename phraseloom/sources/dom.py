@@ -5,14 +5,16 @@ Static HTML has no layout; visibility and geometry come as columns where a calle
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_han, utf16_length
+from ..functions.text import HAN, contains_han, utf16_length
 from ..schema import DOM_NODE
 
 # Elements whose texts are never read.
@@ -20,6 +22,8 @@ SKIPPED = ("script", "style", "noscript", "input", "textarea", "select", "button
 #: The name of the meta element by which a page opts out; callers pass the name that their pages use.
 META_NAME = "phraseloom"
 DIVIDER_CLASS = "phrase-divider"
+HIDING = r"(^|;)(display:none|content-visibility:hidden|opacity:0(\.0*)?)(;|!|$)"
+VISIBILITY = r"(?:^|;)visibility:(visible|hidden|collapse)(?:;|!|$)"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 STORES = ("chrome.google.com", "webstore.google.com")
@@ -35,7 +39,7 @@ def skipped(tag: Column, attrs: Column) -> Column:
         | F.coalesce(F.element_at(attrs, "aria-hidden") == "true", F.lit(False))
         | F.coalesce(editable.isNotNull() & (editable != "false"), F.lit(False))
         | F.array_contains(F.split(F.coalesce(F.element_at(attrs, "class"), F.lit("")), r"\s+"), DIVIDER_CLASS)
-        | style.rlike(r"(^|;)(display:none|content-visibility:hidden|opacity:0(\.0*)?)(;|!|$)")
+        | style.rlike(HIDING)
     )
 
 
@@ -107,11 +111,79 @@ def readable_texts(nodes: DataFrame, han_only: bool = True) -> DataFrame:
         texts = texts.where(contains_han(F.col("value")))
     # a page's left-out elements, met by each of a text's ancestors
     under = texts.select("page_id", "node_id", F.explode("path").alias("above")).join(out, ["page_id", "above"]).select("page_id", "node_id").distinct()
-    kept = texts.join(under, ["page_id", "node_id"], "left_anti")
+    # visibility passes on to what is below until an element sets another one
+    style = F.lower(F.regexp_replace(F.coalesce(F.element_at("attrs", "style"), F.lit("")), r"\s", ""))
+    sets = nodes.where(F.col("node_type") == 1).select("page_id", F.col("node_id").alias("above"), F.regexp_extract(style, VISIBILITY, 1).alias("sets")).where("sets != ''")
+    nearest = texts.select("page_id", "node_id", F.posexplode("path").alias("depth", "above")).join(sets, ["page_id", "above"]).groupBy("page_id", "node_id").agg(F.max_by("sets", "depth").alias("sets"))
+    hidden = nearest.where("sets != 'visible'").select("page_id", "node_id")
+    kept = texts.join(under.union(hidden).distinct(), ["page_id", "node_id"], "left_anti")
     order = Window.partitionBy("page_id").orderBy("node_id")
     return kept.select("page_id", (F.row_number().over(order) - 1).alias("idx"), "node_id", "parent_id", F.col("value").alias("text"), F.lit(0).alias("start"), utf16_length(F.col("value")).alias("end"))
 
 
+class _Texts(_Tree):
+    """The readable texts of a page only: what is left out is pruned while the page is read."""
+
+    def __init__(self, page_id: int) -> None:
+        super().__init__(page_id)
+        #: of each open element: whether its texts are left out, and whether they show
+        self.state: dict[int, tuple[bool, bool]] = {}
+
+    def _add(self, kind: int, tag: str | None, attrs: list, value: str | None) -> int:
+        above = self.state.get(self.open[-1][0], (False, True)) if self.open else (False, True)
+        if kind == 1:
+            node, self.next = self.next, self.next + 1
+            if not above[0]:
+                known = dict(attrs)
+                style = _SPACES.sub("", known.get("style", "")).lower()
+                sets = _VISIBILITY.search(style)
+                above = _left_out(tag, known, style), above[1] if sets is None else sets[1] == "visible"
+            self.state[node] = above
+            return node
+        return super()._add(kind, tag, attrs, value)
+
+    def readable(self) -> Iterator[tuple[int, int | None, str]]:
+        """node_id, parent_id and text."""
+        for row in self.rows:
+            gone, shows = self.state.get(row[2], (False, True))
+            if not gone and shows and row[8]:
+                yield row[1], row[2], row[8]
+
+
+_SPACES, _HIDING, _VISIBILITY, _HAN = re.compile(r"\s"), re.compile(HIDING), re.compile(VISIBILITY), regex.compile(HAN.replace("IsHan", "Han"))
+
+
+def _left_out(tag: str, attrs: dict[str, str], style: str) -> bool:
+    """As `skipped`, of one element."""
+    editable = attrs.get("contenteditable")
+    return (
+        tag in SKIPPED or "hidden" in attrs or attrs.get("aria-hidden") == "true" or editable is not None and editable.lower() != "false"
+        or DIVIDER_CLASS in _ASCII_SPACES.split(attrs.get("class", "")) or bool(_HIDING.search(style))
+    )
+
+
+_ASCII_SPACES = re.compile(r"[ \t\n\x0b\f\r]+")
+
+
+def page_texts(pages: DataFrame, han_only: bool = True) -> DataFrame:
+    """The readable texts of pages (page_id, html), in one pass and without a shuffle: snapshot rows, in document order by idx."""
+    kinds = [("page_id", pa.int64()), ("idx", pa.int32()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("text", pa.string()), ("start", pa.int32()), ("end", pa.int32())]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                rows = []
+                for key, html in zip(batch.column("page_id").slice(at, 64).to_pylist(), batch.column("html").slice(at, 64).to_pylist(), strict=True):
+                    tree = _Texts(key)
+                    tree.feed(html or "")
+                    tree.close()
+                    found = [x for x in tree.readable() if not han_only or _HAN.search(x[2])]
+                    rows += [(key, idx, node, parent, text, 0, len(text) + sum(c > "\uffff" for c in text)) for idx, (node, parent, text) in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
+
+    return pages.select("page_id", "html").mapInArrow(read, "page_id long, idx int, node_id long, parent_id long, text string, start int, end int")
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(page_id, node_id, ancestor_id, distance) from each node's path."""
     return nodes.select("page_id", "node_id", F.size("path").alias("depth"), F.posexplode("path").alias("pos", "ancestor_id")).select("page_id", "node_id", "ancestor_id", (F.col("depth") - F.col("pos")).alias("distance"))
@@ -119,7 +191,8 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 def opted_out(html: Column, name: str = META_NAME) -> Column:
     """Whether the page has a meta element of this name whose content is `off`."""
-    return F.coalesce(html.rlike(rf"(?is)<meta\s[^>]*name\s*=\s*[\"']?{name}[\"']?[^>]*content\s*=\s*[\"']?off[\"'\s/>]"), F.lit(False))
+    named, off = rf"name\s*=\s*[\"']?{name}(?=[\"'\s/>])", r"content\s*=\s*[\"']?off(?=[\"'\s/>])"
+    return F.coalesce(html.rlike(rf"(?is)<meta\s(?=[^>]*{named})(?=[^>]*{off})"), F.lit(False))
 
 
 def supports_url(url: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_han
@@ -58,11 +58,13 @@ def foreign(mutations: DataFrame) -> DataFrame:
     return mutations.where(F.col("origin").isNull() | (F.col("origin") != "engine"))
 
 
-def single_flight(requests: list[tuple[int, int]], wait: int = 200) -> list[tuple[int, int]]:
+def single_flight(requests: list[tuple[int, int | None]], wait: int = 200) -> list[tuple[int, int]]:
     """(start, end) of the tasks that a page runs: requests are (time, duration of the next task), by time.
 
     A request restarts the wait. A task starts when the wait is over and no task runs; requests
-    during a task wait for both.
+    during a task wait for both. A duration of None switches the page off: what waits is dropped,
+    a task that runs goes on. At the end of the requests what waits runs, as at a shutdown that
+    flushes.
     """
     tasks: list[tuple[int, int]] = []
     due, busy, duration = None, 0, 0
@@ -76,17 +78,18 @@ def single_flight(requests: list[tuple[int, int]], wait: int = 200) -> list[tupl
 
     for at, takes in requests:
         settle(at)
-        due, duration = at + wait, takes
+        due, duration = (None, 0) if takes is None else (at + wait, takes)
     settle(float("inf"))
     return tasks
 
 
 def flights(requests: DataFrame, wait_ms: int = 200) -> DataFrame:
-    """Tasks of each page from (page_id, at_ms, takes_ms): start_ms and end_ms. A page's requests are one group."""
+    """Tasks of each page from (page_id, at_ms, takes_ms): start_ms and end_ms; a null takes_ms switches off. A page's requests are one group."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values(["at_ms", "takes_ms"])
-        tasks = single_flight(list(zip(rows["at_ms"].tolist(), rows["takes_ms"].tolist(), strict=True)), wait_ms)
+        rows = pdf.sort_values(["at_ms", "takes_ms"], na_position="last")
+        takes = [None if pd.isna(x) else int(x) for x in rows["takes_ms"].tolist()]
+        tasks = single_flight(list(zip(rows["at_ms"].tolist(), takes, strict=True)), wait_ms)
         return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]] * len(tasks), "start_ms": [t[0] for t in tasks], "end_ms": [t[1] for t in tasks]})
 
     return requests.select("page_id", "at_ms", "takes_ms").groupBy("page_id").applyInPandas(run, "page_id long, start_ms long, end_ms long")
@@ -157,13 +160,33 @@ def answered(requests: DataFrame, responses: DataFrame, timeout: str = "5 second
     return requests.join(r, within, "left").select("id", "sent", "received", "offsets", F.when(F.col("_id").isNull(), "timeout").otherwise(F.col("error")).alias("error"))
 
 
-def rejected_with(answers: DataFrame, timeout: str = "5 seconds") -> DataFrame:
-    """Answers in which a timeout also rejects what was pending then: requests sent before it and answered after it."""
-    dead = answers.where("error = 'timeout'").select((F.col("sent") + F.expr(f"INTERVAL {timeout}")).alias("at"))
-    # pending over an instant: an interval that holds it; timeouts are bucketed by second so that each request meets few
-    ends = F.coalesce("received", F.col("sent") + F.expr(f"INTERVAL {timeout}"))
-    wide = answers.withColumn("_b", F.explode(F.sequence(F.col("sent").cast("long"), ends.cast("long"))))
-    hit = wide.join(dead.withColumn("_b", F.col("at").cast("long")).distinct(), "_b").where((F.col("sent") < F.col("at")) & (ends > F.col("at"))).select("id").distinct().withColumn("_dead", F.lit(True))
+def timeouts(answers: DataFrame, timeout: str = "5 seconds", worker: str | None = None) -> DataFrame:
+    """(worker, at) of the timeouts that fire: a request that one has rejected fires none of its own.
+
+    Unanswered requests a timeout or more after the one before start an island; in one, in the
+    order of sending, a request fires if it was sent at the last timeout or later.
+    """
+    wait = F.expr(f"INTERVAL {timeout}")
+    name = F.col(worker) if worker else F.lit(0)
+    open_ = answers.where("error = 'timeout'").select(name.alias("worker"), "sent").distinct()
+    order = Window.partitionBy("worker").orderBy("sent")
+    fresh = F.when(F.col("sent") >= F.lag("sent").over(order) + wait, 1).otherwise(0)
+    islands = open_.withColumn("_new", fresh).withColumn("_island", F.sum("_new").over(order)).groupBy("worker", "_island").agg(F.array_sort(F.collect_list("sent")).alias("_sent"))
+    none = F.array().cast(f"array<{answers.schema['sent'].dataType.simpleString()}>")
+    fired = F.aggregate("_sent", none, lambda fires, s: F.when((F.size(fires) == 0) | (s >= F.element_at(fires, -1)), F.array_append(fires, s + wait)).otherwise(fires))
+    return islands.select("worker", F.explode(fired).alias("at"))
+
+
+def rejected_with(answers: DataFrame, timeout: str = "5 seconds", worker: str | None = None) -> DataFrame:
+    """Answers (of one worker, or with a column that names it) in which a timeout also rejects what was pending then: requests sent before it and answered after it."""
+    wait = F.expr(f"INTERVAL {timeout}")
+    rows = answers.withColumn("_worker", F.col(worker) if worker else F.lit(0)).withColumn("_ends", F.coalesce("received", F.col("sent") + wait))
+    # pending over an instant: an interval that holds it; both meet in cells of a timeout's length, of which a request touches two
+    length = F.expr(f"timestampdiff(MICROSECOND, timestamp '1970-01-01', timestamp '1970-01-01' + INTERVAL {timeout})")
+    cell = lambda t: F.floor(micros(t) / length)
+    wide = rows.withColumn("_b", F.explode(F.sequence(cell(F.col("sent")), cell(F.col("_ends")))))
+    dead = timeouts(answers, timeout, worker).select(F.col("worker").alias("_w"), "at", cell(F.col("at")).alias("_c"))
+    hit = wide.join(dead, (F.col("_worker") == F.col("_w")) & (F.col("_b") == F.col("_c")) & (F.col("sent") < F.col("at")) & (F.col("_ends") > F.col("at"))).select("id").distinct().withColumn("_dead", F.lit(True))
     return answers.join(hit, "id", "left").select("id", "sent", "received", F.when(F.col("_dead"), F.lit(None)).otherwise(F.col("offsets")).alias("offsets"), F.when(F.col("_dead"), "rejected").otherwise(F.col("error")).alias("error"))
 
 
@@ -180,6 +203,21 @@ def setting(table: DataFrame | None) -> bool:
     return bool(row and row[0])
 
 
+def write_setting(spark: SparkSession, path: str, enabled: bool) -> None:
+    """Stores the switch as a table of one row, which `setting` reads."""
+    spark.createDataFrame([(enabled,)], "enabled boolean").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def each_batch(task: Callable[[DataFrame, int], None], done: Callable[[], int]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: runs the task for batches after the last one that is `done`, so that a replayed batch is not written twice."""
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if batch_id > done():
+            task(batch, batch_id)
+
+    return run
+
+
 def run_once(snapshot: Callable[[], DataFrame], process: Callable[[DataFrame], DataFrame], write: Callable[[DataFrame], DataFrame], remember: Callable[[DataFrame], None], clear: Callable[[], None]) -> str | None:
     """One task: read, process, write, remember; at any failure clear, and return the error. Nothing to read calls nothing."""
     try:
