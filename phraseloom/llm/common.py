@@ -11,10 +11,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 U64 = np.uint64
-#: Spark's setting that drops an execution's shuffle files when it ends
+#: Spark's settings for the size of a batch, and the one that drops an execution's shuffle files when it ends
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "8m"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of a batch that goes to a Python worker: long texts would make batches of 64 MB, held several times over."""
+    if spark.conf.get(BATCH, None) != BATCH_BYTES:
+        spark.conf.set(BATCH, BATCH_BYTES)
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder named in spark.checkpoint.dir; in local mode without one, a temporary folder.
 
@@ -37,6 +44,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     application ends, the write's shuffle files at its end.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{work_dir(spark)}/phraseloom/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     was = spark.conf.get(CLEANUP, "false")
@@ -63,6 +71,7 @@ def forget(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
