@@ -103,10 +103,8 @@ _HANS = f"(SELECT doc_id, i, clause FROM {_CLAUSES.replace(_PROJ, f'replace({_PR
 _LETTERS = "(SELECT doc_id, i, list_transform(range(1, length(clause)), lambda k: ((unicode(substring(clause, k, 1)) * 31 + unicode(substring(clause, k + 1, 1)) * 17) % 97) / 4.0) AS s FROM (SELECT doc_id, i, clause FROM {c}))"
 
 
-def _long_clauses(spark, sf_dir, keep=("doc_id",), longest=None):
-    rows = S.clauses(_docs(spark, sf_dir), _projected(), list(keep)).where(F.length("clause") >= N.MIN_UNITS)
-    if longest:
-        rows = rows.where(F.length("clause") <= longest)
+def _long_clauses(spark, sf_dir, longest):
+    rows = S.clauses(_docs(spark, sf_dir), _projected(), ["doc_id"]).where(F.length("clause").between(N.MIN_UNITS, longest))
     return rows.withColumn("scores", S.letter_scores(F.col("clause")))
 
 
@@ -135,15 +133,20 @@ def gap_gate(spark, sf_dir):
     return _gated_gaps(_long_clauses(spark, sf_dir, longest=400))
 
 
+def _whole_gaps(spark, sf_dir):
+    rows = S.clauses(_docs(spark, sf_dir), _projected(), ["doc_id"]).where(F.length("clause") >= N.MIN_UNITS)
+    return S.letter_gaps(rows.select("doc_id", F.col("i").cast("long").alias("i"), "clause"), ["doc_id", "i"])
+
+
 @query()
 def gap_softmax_argmax_whole(spark, sf_dir):
     """Clauses of 13 letters and more, of any length."""
-    return _best_gaps(_long_clauses(spark, sf_dir))
+    return _whole_gaps(spark, sf_dir).withColumn("best", F.round("best", 6))
 
 
 @query()
 def gap_gate_whole(spark, sf_dir):
-    return _gated_gaps(_long_clauses(spark, sf_dir))
+    return _whole_gaps(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("clauses"), F.count(F.when(F.col("best") > N.MIN_CONFIDENCE, 1)).alias("cut"))
 
 
 @query("SELECT doc_id, n, w.cursor::BIGINT AS cursor, least(n - 1, w.cursor + step)::BIGINT AS gap_end, greatest(0, w.cursor - 16)::BIGINT AS start, least(n, least(n - 1, w.cursor + step) + 17)::BIGINT AS \"end\" FROM (SELECT doc_id, n_chars AS n, CASE WHEN n_chars <= 256 THEN n_chars - 1 ELSE 223 END AS step, unnest(range(0, n_chars - 1, greatest(CASE WHEN n_chars <= 256 THEN n_chars - 1 ELSE 223 END, 1))) AS cursor FROM documents WHERE n_chars >= 2) w")
@@ -187,6 +190,22 @@ def chunks_network(spark, sf_dir):
     return _segmented(spark, sf_dir, Network(ModelFile.random(list(T.PROJECTED), 24, 2, seed=7)), Options(strategy="recursive-softmax", min_confidence=0.05))
 
 
+@query()
+def chunks_fixed_whole(spark, sf_dir):
+    return _segmented(spark, sf_dir, Letters(), Options(strategy="fixed"), "documents", "doc_id")
+
+
+@query()
+def han_adjacency_whole(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.size(T.adjacent_han(_projected())).cast("long").alias("n"))
+
+
+@query()
+def boundary_offsets_whole(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", T.boundary_offsets(_projected()).alias("at"))
+    return rows.select("doc_id", F.size("at").cast("long").alias("n"), F.aggregate("at", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 @query("SELECT 'random-f32-v1' AS format, 'unicode-context-v1' AS input_representation, 32::INT AS vocabulary_size, 24::INT AS channels, 2::INT AS residual_blocks, 4::INT AS convolution_layers, (32 * 24 + 2 * (24 + 24 + 1 + 2 * (24 * 24 * 3 + 24)) + 24 * 96 + 24 + 24 + 1)::BIGINT AS parameters")
 def network_info(spark, sf_dir):
     return model_info(spark, ModelFile.random(list(T.PROJECTED), 24, 2, seed=7))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import numeric as N
 from ..functions import text as T
@@ -38,6 +41,42 @@ def letter_scores(clause: Column) -> Column:
     return T.let(codes, lambda c: F.zip_with(F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.greatest(F.size(c) - 1, F.lit(0))), lambda a, b: ((a * 31 + b * 17) % 97 / 4).cast("double")))
 
 
+GAPS = "gaps long, best double, at long"
+
+
+def letter_gaps(rows: DataFrame, keep: list[str], clause: str = "clause") -> DataFrame:
+    """The kept columns with the number of a clause's gaps, the best gap's probability by softmax, and its index, the first of equal ones.
+
+    As letter_scores, gap_probabilities and best_gap give them, over the code points of a whole
+    batch at once; clauses of fewer than two letters have no gap, and null for best and at.
+    """
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            size = np.array([len(t or "") for t in texts], np.int64)
+            points = np.frombuffer("".join(t or "" for t in texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+            ends = np.cumsum(size)
+            gaps = np.maximum(size - 1, 0)
+            inside = np.ones(max(len(points) - 1, 0), bool)
+            inside[ends[(size > 0) & (ends < len(points))] - 1] = False
+            score = ((points[:-1] * 31 + points[1:] * 17) % 97 / 4)[inside]
+            some = np.flatnonzero(gaps)
+            best, at = np.full(len(texts), np.nan), np.full(len(texts), -1)
+            if len(some):
+                heads = np.cumsum(gaps[some]) - gaps[some]
+                top = np.maximum.reduceat(score, heads)
+                own = np.repeat(np.arange(len(some)), gaps[some])
+                best[some] = 1 / np.add.reduceat(np.exp(score - top[own]), heads)
+                first = np.where(score == top[own], np.arange(len(score)), len(score))
+                at[some] = np.minimum.reduceat(first, heads) - heads
+            none = gaps == 0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(gaps), pa.array(best, mask=none), pa.array(at, mask=none)], names=[*batch.schema.names[:-1], "gaps", "best", "at"])
+
+    source = rows.select(*keep, clause)
+    return source.mapInArrow(scored, StructType(source.schema.fields[:-1] + StructType.fromDDL(GAPS).fields))
+
+
 def uniform_cuts(clause: Column) -> Column:
     """Cuts of a clause of Han letters when all gaps score alike and any gap may be cut: after each letter while enough units stay."""
     n = F.length(clause)

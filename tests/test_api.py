@@ -102,3 +102,21 @@ def test_marked_copy_by_lines():
 
 def test_whole_tables_are_read(spark):
     assert {"request_rejections", "fragments_beyond_u_ffff", "clauses_with_private_use", "hidden_texts"} <= set(catalog.ORACLES)
+
+
+def test_letter_gaps_as_columns_give_them(spark):
+    from phraseloom.functions import numeric as N
+
+    rows = spark.createDataFrame([(1, "甲乙丙丁戊己庚辛"), (2, "aaaaaaaaaa"), (3, "x"), (4, ""), (5, None), (6, "𠀀b𠀀bc" * 40), (7, "ab")], "id long, clause string")
+    got = {r["id"]: (r["gaps"], r["best"] and round(r["best"], 9), r["at"]) for r in S.letter_gaps(rows, ["id"]).collect()}
+    own = rows.where("length(clause) > 1").withColumn("s", S.letter_scores(F.col("clause")))
+    want = {r["id"]: (r["n"], round(r["p"], 9), r["at"]) for r in own.select("id", F.size("s").alias("n"), F.array_max(N.gap_probabilities(F.col("s"))).alias("p"), N.best_gap(F.col("s")).alias("at")).collect()}
+    assert {k: v for k, v in got.items() if k in want} == want and all(got[k] == (0, None, None) for k in (3, 4, 5))
+
+
+def test_offsets_of_documents(spark):
+    rows = spark.createDataFrame([("a，b。\n𠀀！1，000；",), ("",), ("，" * 50,)], "t string")
+    from phraseloom.functions import text as T
+
+    got = [r["o"] for r in rows.select(T.boundary_offsets(F.col("t")).alias("o")).collect()]
+    assert got == [[1, 3, 4, 7, 13], [], list(range(50))]
