@@ -69,6 +69,7 @@ def _fields(block: bytes) -> tuple[str, list[tuple[str, str]]]:
 
 
 DATE = re.compile(r"([0-9]{4})(?:-([0-9]{2})(?:-([0-9]{2})(?:T([0-9]{2}):([0-9]{2})(?::([0-9]{2})(?:[.][0-9]+)?)?Z)?)?)?")
+START = re.compile(rb"WARC/1[.][0-9]\r\n[A-Za-z-]+:")
 
 
 def seconds_of(date: str) -> int:
@@ -127,8 +128,8 @@ def parse(data: bytes) -> Iterator[dict]:
             at = end + 8 + size
         except (ValueError, KeyError) as e:
             yield {"record_id": None, "type": None, "url": None, "seconds": None, "profile": None, "status": None, "headers": {}, "digest": None, "body_sha256": None, "body_bytes": None, "error": f"{type(e).__name__}: {e} at byte {at}"}
-            further = data.find(b"\r\n\r\nWARC/1.", at)
-            at = further + 4 if further >= 0 else len(data)
+            further = START.search(data, at + 1)
+            at = further.start() if further else len(data)
 
 
 RECORDS = "record_id string, type string, url string, seconds long, profile string, status int, headers map<string,string>, digest string, body_sha256 string, body_bytes long, error string"

@@ -523,3 +523,64 @@ def test_queries_cover_their_table(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_same_rows_as_sql(spark, name):
     compare(spark, queries.QUERIES, queries.ORACLES, name)
+
+
+def test_warc_dates_members_and_resynchronising():
+    import gzip
+
+    assert [warc.seconds_of(d) for d in ("1970-01-01T00:00:01Z", "1970-01-01T00:01:00.25Z", "1970-01-02", "1970-02", "1971", "1970-01-01T01:00Z")] == [1, 60, 86400, 31 * 86400, 365 * 86400, 3600]
+    for bad in ("1970-13-01", "1970-02-30", "x", "1970-01-01T24:00:00Z"):
+        with pytest.raises(ValueError):
+            warc.seconds_of(bad)
+    one = lambda k: warc.record("response", f"r:{k}", "http://a/", k, [("A", "b")], b"body")
+    fraction = one(5).replace(b"00:00:05Z", b"00:00:05.75Z")
+    assert [(r["record_id"], r["seconds"]) for r in warc.parse(one(1) + fraction)] == [("r:1", 1), ("r:5", 5)]
+    wrong = one(2).replace(b"body", b"bodx")
+    got = list(warc.parse(one(1) + wrong + one(3) + b"junk" + one(4)))
+    assert [r["record_id"] for r in got] == ["r:1", None, "r:3", None, "r:4"]
+    zipped = gzip.compress(one(1)) + gzip.compress(one(2))
+    assert [r["record_id"] for r in warc.parse(zipped)] == ["r:1", "r:2"]
+    assert [r["record_id"] for r in warc.parse(gzip.compress(one(1)) + b"\x1f\x8b\x08broken" + gzip.compress(one(2))) if r["record_id"]] == ["r:1", "r:2"]
+    assert list(warc.parse(b"")) == []
+
+
+def test_captures_of_odd_pages(spark):
+    rows = [(1 << 40, "http://a.b/c", "x"), (None, "http://a.b/c", "x"), (3, None, None), (3, None, None)]
+    pages = spark.createDataFrame([(*r, "s", 1) for r in rows], "page_id long, url string, html string, status string, seconds int")
+    got = warc.resolve(warc.read_records(warc.captures(pages))).collect()
+    assert len(got) == 8 and sum(r["status"] == "full" for r in got) == 4
+    assert warc.resolve(warc.read_records(warc.captures(pages.where("false")))).count() == 0
+
+
+def test_secret_windows_do_not_depend_on_batches(spark):
+    rng = random.Random(9)
+    rows = [(k, phrase(rng, rng.randint(0, 200)) + (f" password = hunter{k}secret99 " if k % 5 == 0 else "") + phrase(rng, 30)) for k in range(80)]
+    docs = table(spark, rows)
+    one, two = (secrets_crf.fit(d) for d in (docs.coalesce(1), docs.repartition(7)))
+    assert np.array_equal(one.weights, two.weights) and np.array_equal(one.pairs, two.pairs) and np.array_equal(one.first, two.first)
+    few = secrets_crf.fit(table(spark, [(1, "password = abcdef123456")]))
+    assert np.abs(few.weights).max() > 0.1
+
+
+def test_small_sources_meet_their_targets(spark):
+    rows = [(k, "w " * 10) for k in range(6)] + [(100 + k, "v " * 500) for k in range(40)]
+    got = mixture.mix(table(spark, rows, ["a"] * 3 + ["b"] * 3 + ["c"] * 40)).collect()
+    assert all(r["taken"] <= 2 * r["size"] for r in got)
+    by_target = defaultdict(int)
+    for r in got:
+        by_target[round(r["target"], 6), r["source_size"]] += r["taken"]
+    assert all(abs(n - t * (2 if s == 30 and t == 60.0 else 1)) <= max(2, 0.02 * t) for (t, s), n in by_target.items())
+
+
+@HERE
+def test_held_out_languages_are_told(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = queries.op5_langid(spark, str(DATA)).where("held_out").join(docs.select("doc_id", "lang"), "doc_id").where("lang is not null and lang_pred <> 'und'").select("lang", "lang_pred").collect()
+    assert len(rows) > 30 and sum(r["lang"] == r["lang_pred"] for r in rows) >= 0.95 * len(rows)
+
+
+@HERE
+def test_held_out_toxicity_is_told(spark):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    rows = queries.op2_toxicity(spark, str(DATA)).where("held_out").join(labels, "doc_id").select("toxic", "predicted").collect()
+    assert rows and sum(int(r["toxic"]) == r["predicted"] for r in rows) >= 0.9 * len(rows)
