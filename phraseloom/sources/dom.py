@@ -44,18 +44,28 @@ def skipped(tag: Column, attrs: Column) -> Column:
 
 
 class _Tree(HTMLParser):
-    """Rows of elements (node_type 1) and texts (3) in document order."""
+    """Rows of elements (node_type 1), texts (3) and open shadow roots (11) in the order of the source.
+
+    A `<template shadowrootmode=open>` is the shadow root of the element that holds it, unless that
+    has one; what any other template holds is no part of the page. A shadow root's parent_id is its
+    host. Paths follow what is drawn: a child of a host lies in the first slot of its name.
+    """
 
     def __init__(self, page_id: int) -> None:
         super().__init__(convert_charrefs=True)
-        self.page, self.rows, self.open, self.next = page_id, [], [], 1
+        #: open elements: node, tag, and whether they are or lie in a template that is not drawn
+        self.open: list[tuple[int, str, bool]] = []
+        self.page, self.rows, self.next = page_id, [], 1
         self.ords: dict[int | None, int] = {}
+        self.roots: dict[int, int] = {}
+        self.slots: dict[tuple[int, str], int] = {}
+        self.slotted: dict[int, tuple[int, str]] = {}
 
     def _add(self, kind: int, tag: str | None, attrs: list, value: str | None) -> int:
         parent = self.open[-1][0] if self.open else None
         self.ords[parent] = self.ords.get(parent, -1) + 1
         node, self.next = self.next, self.next + 1
-        self.rows.append((self.page, node, parent, self.ords[parent], [n for n, _ in self.open], kind, tag, attrs, value))
+        self.rows.append((self.page, node, parent, self.ords[parent], [n for n, *_ in self.open], kind, tag, attrs, value))
         return node
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -63,31 +73,68 @@ class _Tree(HTMLParser):
             self._close("p", until=CLOSES_P)
         if tag in ("li", "option", "tr", "td", "th"):
             self._close(tag, until={"ul", "ol", "select", "table", "tr"} - {tag})
-        node = self._add(1, tag, [(k, v or "") for k, v in dict(attrs).items()], None)
+        known = {k: v or "" for k, v in dict(attrs).items()}
+        host = self.open[-1][0] if self.open else None
+        unseen = bool(self.open) and self.open[-1][2]
+        if unseen:
+            node, self.next = self.next, self.next + 1
+        elif tag == "template" and known.get("shadowrootmode", "").lower() == "open" and host is not None and self.open[-1][1] != "template" and host not in self.roots:
+            node = self.roots[host] = self._add(11, None, [], None)
+        else:
+            node = self._add(1, tag, list(known.items()), None)
+            self.slotted[node] = (host, known.get("slot", ""))
+            unseen = tag == "template"
+            if tag == "slot" and (root := next((n for n, t, _ in reversed(self.open) if t == "template"), None)) is not None:
+                self.slots.setdefault((root, known.get("name", "")), node)
         if tag not in VOID:
-            self.open.append((node, tag))
+            self.open.append((node, tag, unseen))
 
     def _close(self, tag: str, until: frozenset | set = frozenset()) -> None:
         for k in range(len(self.open) - 1, -1, -1):
             if self.open[k][1] == tag:
                 del self.open[k:]
                 return
-            if self.open[k][1] in until:
+            if self.open[k][1] in until or self.open[k][1] == "template":
                 return
 
     def handle_endtag(self, tag: str) -> None:
         self._close(tag)
 
+    def handle_comment(self, data: str) -> None:
+        self.next += 1
+
     def handle_data(self, data: str) -> None:
-        if self.rows and self.rows[-1][5] == 3 and self.rows[-1][2] == (self.open[-1][0] if self.open else None):
+        if self.open and self.open[-1][2]:
+            self.next += 1
+        elif self.rows and self.rows[-1][5] == 3 and self.rows[-1][1] == self.next - 1 and self.rows[-1][2] == (self.open[-1][0] if self.open else None):
             self.rows[-1] = (*self.rows[-1][:8], self.rows[-1][8] + data)
         else:
             self._add(3, None, [], data)
 
+    def slot_of(self, node: int, parent: int | None) -> int | None:
+        """The slot that a child of a shadow host is drawn in; texts go to the unnamed one."""
+        root = self.roots.get(parent)
+        return None if root is None or root == node else self.slots.get((root, self.slotted.get(node, (parent, ""))[1]))
+
+    def drawn(self) -> list[tuple]:
+        """The rows with the slot each is in, and with paths through slots."""
+        if not self.roots:
+            return [(*r, None) for r in self.rows]
+        parents = {r[1]: r[2] for r in self.rows}
+        out = []
+        for r in self.rows:
+            path, at = [], r[1]
+            while at is not None:
+                slot = self.slot_of(at, parents[at])
+                at = parents[at] if slot is None else slot
+                path.append(at)
+            out.append((*r[:4], path[-2::-1], *r[5:], self.slot_of(r[1], r[2])))
+        return out
+
 
 def dom_nodes(pages: DataFrame) -> DataFrame:
-    """The nodes of each page (page_id, html) in document order; pages without html have none."""
-    kinds = [("page_id", pa.int64()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("ord", pa.int32()), ("path", pa.list_(pa.int64())), ("node_type", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("value", pa.string())]
+    """The nodes of each page (page_id, html) in the order of its source; pages without html have none. slot_id is the slot that a host's child is drawn in."""
+    kinds = [("page_id", pa.int64()), ("node_id", pa.int64()), ("parent_id", pa.int64()), ("ord", pa.int32()), ("path", pa.list_(pa.int64())), ("node_type", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("value", pa.string()), ("slot_id", pa.int64())]
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,7 +144,7 @@ def dom_nodes(pages: DataFrame) -> DataFrame:
                     tree = _Tree(key)
                     tree.feed(html or "")
                     tree.close()
-                    rows += tree.rows
+                    rows += tree.drawn()
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, (_, t) in enumerate(kinds)], names=[n for n, _ in kinds])
 
     return pages.select("page_id", "html").mapInArrow(parsed, DOM_NODE)
@@ -128,24 +175,40 @@ class _Texts(_Tree):
         super().__init__(page_id)
         #: of each open element: whether its texts are left out, and whether they show
         self.state: dict[int, tuple[bool, bool]] = {}
+        #: of each element, before what its slot says: its parent, whether it is left out, the visibility it sets
+        self.own: dict[int, tuple[int | None, bool, bool | None]] = {}
 
     def _add(self, kind: int, tag: str | None, attrs: list, value: str | None) -> int:
-        above = self.state.get(self.open[-1][0], (False, True)) if self.open else (False, True)
-        if kind == 1:
-            node, self.next = self.next, self.next + 1
-            if not above[0]:
-                known = dict(attrs)
-                style = _SPACES.sub("", known.get("style", "")).lower()
-                sets = _VISIBILITY.search(style)
-                above = _left_out(tag, known, style), above[1] if sets is None else sets[1] == "visible"
-            self.state[node] = above
-            return node
-        return super()._add(kind, tag, attrs, value)
+        if kind == 3:
+            return super()._add(kind, tag, attrs, value)
+        parent = self.open[-1][0] if self.open else None
+        gone, shows = self.state.get(parent, (False, True))
+        node, self.next = self.next, self.next + 1
+        sets = None
+        if kind == 1 and not gone:
+            known = dict(attrs)
+            style = _SPACES.sub("", known.get("style", "")).lower()
+            found = _VISIBILITY.search(style)
+            gone, sets = _left_out(tag, known, style), None if found is None else found[1] == "visible"
+        self.own[node] = parent, gone, sets
+        self.state[node] = gone, shows if sets is None else sets
+        return node
+
+    def _through_slots(self, node: int, parent: int | None) -> tuple[bool, bool]:
+        """As `state` says of a node's texts, from its drawn ancestors up."""
+        gone, shows, slot = False, None, self.slot_of(node, parent)
+        at = parent if slot is None else slot
+        while at is not None:
+            above, out, sets = self.own[at]
+            gone, shows = gone or out, sets if shows is None else shows
+            slot = self.slot_of(at, above)
+            at = above if slot is None else slot
+        return gone, shows is not False
 
     def readable(self) -> Iterator[tuple[int, int | None, str]]:
         """node_id, parent_id and text."""
         for row in self.rows:
-            gone, shows = self.state.get(row[2], (False, True))
+            gone, shows = self._through_slots(row[1], row[2]) if self.roots else self.state.get(row[2], (False, True))
             if not gone and shows and row[8]:
                 yield row[1], row[2], row[8]
 
@@ -184,6 +247,16 @@ def page_texts(pages: DataFrame, han_only: bool = True) -> DataFrame:
     return pages.select("page_id", "html").mapInArrow(read, "page_id long, idx int, node_id long, parent_id long, text string, start int, end int")
 
 
+def shadow_roots(nodes: DataFrame) -> DataFrame:
+    """(page_id, root_id, host_id) of the open shadow roots among nodes."""
+    return nodes.where("node_type = 11").select("page_id", F.col("node_id").alias("root_id"), F.col("parent_id").alias("host_id"))
+
+
+def drawn_parent(nodes: DataFrame) -> Column:
+    """The element that a node is drawn in: its slot, its parent, or at a shadow root the host."""
+    return F.coalesce(nodes["slot_id"], nodes["parent_id"])
+
+
 def ancestors(nodes: DataFrame) -> DataFrame:
     """(page_id, node_id, ancestor_id, distance) from each node's path."""
     return nodes.select("page_id", "node_id", F.size("path").alias("depth"), F.posexplode("path").alias("pos", "ancestor_id")).select("page_id", "node_id", "ancestor_id", (F.col("depth") - F.col("pos")).alias("distance"))

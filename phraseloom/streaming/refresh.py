@@ -53,6 +53,14 @@ def relevant(old: Column, new: Column, ignored: Column, han_nodes: Column, group
     return group_changed | (~ignored & (text | han_nodes))
 
 
+def observed_roots(held: DataFrame, present: DataFrame) -> DataFrame:
+    """What to do about shadow roots (page_id, root_id): observe the new ones once, drop those that left their page, keep the rest."""
+    key = ["page_id", "root_id"]
+    was, now = held.select(key).distinct().withColumn("_was", F.lit(True)), present.select(key).distinct().withColumn("_now", F.lit(True))
+    action = F.when(F.col("_was").isNull(), "observe").when(F.col("_now").isNull(), "drop").otherwise("keep")
+    return was.join(now, key, "full").select(*key, action.alias("action"))
+
+
 def foreign(mutations: DataFrame) -> DataFrame:
     """Mutations that the engine's own writes did not make."""
     return mutations.where(F.col("origin").isNull() | (F.col("origin") != "engine"))

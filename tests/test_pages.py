@@ -180,3 +180,34 @@ def test_debounced_stream_and_registry(spark, tmp_path):
     assert [r["changes"] for r in sorted(drain(R.debounced(stream().withWatermark("ts", "1 second")), "quiet"), key=lambda r: r["first"])] == [2, 1, 1]
     assert sorted(r["changes"] for r in R.debounced(rows).collect()) == [1, 1, 1, 2]
     assert len(drain(R.newly_seen(stream(), "1 day"), "seen")) == 2
+
+
+SHADOW = """<div id=h><template shadowrootmode="open"><b>甲</b><p aria-hidden=true><slot name=a></slot></p><i style="visibility:hidden"><slot></slot></i><template>乙</template></template>
+<u slot=a>丙</u>丁<u>戊</u><u style="visibility:visible">己</u><u slot=none>庚</u></div><template><p>辛</template>壬<br>癸<!-- c -->子<em><template shadowrootmode=closed>丑</template>寅</em>"""
+
+
+def test_shadow_roots_and_slots(spark):
+    pages = spark.createDataFrame([(1, SHADOW), (2, "卯<br>辰"), (3, None)], "page_id long, html string")
+    nodes = dom.dom_nodes(pages).cache()
+    seen = {r["value"].strip(): r for r in nodes.where("node_type = 3").collect()}
+    # inert templates and closed roots are no part of the page
+    assert set(seen) - {""} == set("甲丙丁戊己庚壬癸子寅卯辰")
+    roots = dom.shadow_roots(nodes).collect()
+    assert [(r["page_id"], r["host_id"]) for r in roots] == [(1, 1)]
+    # the root hands on to its host; children of the host are drawn in slots, by name or the unnamed one
+    slots = {r["attrs"].get("name", ""): r["node_id"] for r in nodes.where("tag = 'slot'").collect()}
+    drawn = {r["node_id"]: r["p"] for r in nodes.where("page_id = 1").select("node_id", dom.drawn_parent(nodes).alias("p")).collect()}
+    assert drawn[roots[0]["root_id"]] == 1 and drawn[seen["丁"]["node_id"]] == slots[""] and drawn[seen["丙"]["parent_id"]] == slots["a"]
+    assert drawn[seen["庚"]["parent_id"]] == 1 and roots[0]["root_id"] in seen["丙"]["path"] and seen["丙"]["path"][0] == 1
+    # 丙 lies in a left-out part of the root, 丁 and 戊 in a hidden one; 己 sets its own visibility
+    for rows in (dom.readable_texts(nodes), dom.page_texts(pages)):
+        assert [r["text"].strip() for r in rows.orderBy("page_id", "idx").collect()] == list("甲己庚壬癸子寅卯辰")
+    key = ["page_id", "idx", "node_id", "parent_id", "text"]
+    assert sorted(map(tuple, dom.page_texts(pages).select(key).collect())) == sorted(map(tuple, dom.readable_texts(nodes).select(key).collect()))
+
+
+def test_observed_roots(spark):
+    kind = "page_id long, root_id long"
+    held, present = spark.createDataFrame([(1, 2), (1, 3), (1, 3)], kind), spark.createDataFrame([(1, 3), (1, 4), (2, 2)], kind)
+    assert sorted(map(tuple, R.observed_roots(held, present).collect())) == [(1, 2, "drop"), (1, 3, "keep"), (1, 4, "observe"), (2, 2, "observe")]
+    assert R.observed_roots(held.limit(0), present.limit(0)).count() == 0
