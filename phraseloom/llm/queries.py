@@ -85,6 +85,20 @@ least_of AS (SELECT x, min(y) AS component FROM reach GROUP BY x)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(l.component, s.doc_id) AS component_id FROM sets s LEFT JOIN least_of l ON l.x = s.doc_id
 """
 
+OP6_SQL = r"""
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+places AS (SELECT doc_id, unnest(range(0, (len(x) // 2 - 99)::BIGINT)) AS s FROM t),
+strings AS (SELECT p.doc_id, p.s, md5_number(substr(t.x, 2 * p.s + 1, 200)) AS h FROM places p JOIN t USING (doc_id)),
+later AS (SELECT doc_id, s FROM strings QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, s) > 1),
+fresh AS (SELECT doc_id, s, s > coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100, -1) AS new FROM later),
+runs AS (SELECT doc_id, min(s) AS a, max(s) + 100 AS b FROM (SELECT doc_id, s, sum(new::INT) OVER (PARTITION BY doc_id ORDER BY s) AS g FROM fresh) GROUP BY doc_id, g),
+gaps AS (SELECT doc_id, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS a, a AS b, b - a AS n FROM runs
+  UNION ALL SELECT doc_id, coalesce(max(b), 0), NULL, NULL FROM t LEFT JOIN runs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (any_value(len(x)) // 2)::BIGINT AS n_bytes, coalesce(sum(n), 0)::BIGINT AS n_removed, count(n)::BIGINT AS n_spans,
+  sha256(unhex(string_agg(substr(x, 2 * a + 1, 2 * coalesce(b - a, len(x))), '' ORDER BY a, b NULLS LAST))) AS kept_sha256
+FROM t JOIN gaps USING (doc_id) GROUP BY doc_id
+"""
+
 OP8_SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -115,4 +129,4 @@ SELECT 'v:' || k, c, again, status, 'r:' || r, CASE WHEN status = 'resolved' THE
   md5('cache-control=max-age=' || k % 7 || ';content-length=' || CASE WHEN status = 'resolved' THEN n || ';content-type=text/html' ELSE '0' END || ';' || CASE WHEN dated THEN 'last-modified=v' || k ELSE 'etag=W/"' || m || '"' END) FROM j
 """
 
-ORACLES = {"op1_ngram_join": OP1_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
+ORACLES = {"op1_ngram_join": OP1_SQL, "op6_suffix_dedup": OP6_SQL, "op8_decontamination": OP8_SQL, "op10_warc": OP10_SQL}
