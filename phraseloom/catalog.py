@@ -328,13 +328,32 @@ def debounce_islands(spark, sf_dir):
     return refresh.debounced_batch(_table(spark, sf_dir, "events"), 1_800_000_000, "user_id")
 
 
-@query()
+_TASK = "greatest(f.due, f.busy)"
+
+
+@query(f"""
+WITH RECURSIVE r AS (SELECT page_id, at_ms, takes, row_number() OVER (PARTITION BY page_id ORDER BY at_ms, takes) AS k
+  FROM (SELECT user_id AS page_id, epoch_us(ts) // 1000 AS at_ms, event_id % 5000000 AS takes FROM events)),
+f AS (SELECT page_id, k, at_ms + 600000 AS due, 0::BIGINT AS busy, takes, NULL::BIGINT AS start_ms, NULL::BIGINT AS end_ms FROM r WHERE k = 1
+  UNION ALL SELECT r.page_id, r.k, r.at_ms + 600000, CASE WHEN {_TASK} <= r.at_ms THEN {_TASK} + f.takes ELSE f.busy END, r.takes,
+    CASE WHEN {_TASK} <= r.at_ms THEN {_TASK} END, CASE WHEN {_TASK} <= r.at_ms THEN {_TASK} + f.takes END FROM f JOIN r ON r.page_id = f.page_id AND r.k = f.k + 1)
+SELECT page_id, start_ms, end_ms FROM f WHERE start_ms IS NOT NULL
+UNION ALL SELECT page_id, {_TASK}, {_TASK} + takes FROM f QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY k DESC) = 1
+""")
 def single_flight(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.floor(refresh.micros(F.col("ts")) / 1000).alias("at_ms"), (F.col("event_id") % 5_000_000).alias("takes_ms"))
     return refresh.flights(rows, 600_000)
 
 
-@query()
+@query("""
+WITH RECURSIVE r AS (SELECT user_id AS page_id, event_id AS seq, event_id % 5 AS op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events),
+f AS (SELECT page_id, 0::BIGINT AS k, NULL::BIGINT AS seq, false AS enabled, false AS busy, NULL::VARCHAR AS error, false AS told FROM (SELECT DISTINCT page_id FROM r)
+  UNION ALL SELECT page_id, k, seq, CASE WHEN told AND op IN (0, 3, 4) THEN op = 0 ELSE enabled END, CASE WHEN told THEN op IN (0, 2) ELSE busy END,
+    CASE WHEN NOT told OR op IN (1, 2) THEN error WHEN op = 3 THEN 'failed' END, told
+  FROM (SELECT r.*, f.enabled, f.busy, f.error, CASE r.op WHEN 0 THEN NOT f.busy AND NOT f.enabled AND f.error IS NULL WHEN 2 THEN f.enabled AND NOT f.busy
+    WHEN 4 THEN NOT f.busy AND (f.enabled OR f.error IS NOT NULL) ELSE f.busy END AS told FROM f JOIN r ON r.page_id = f.page_id AND r.k = f.k + 1))
+SELECT page_id, seq, enabled, busy, error FROM f WHERE told
+""")
 def reader_states(spark, sf_dir):
     ops = F.array(*(F.lit(x) for x in ("on", "done", "task", "fail", "off")))
     rows = _table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("seq"), F.element_at(ops, (F.col("event_id") % 5 + 1).cast("int")).alias("op"), F.lit(None).cast("string").alias("value"))
