@@ -16,6 +16,8 @@ ANY_SPACE = SPACES + r"\n\x0B\f\r\x{2028}\x{2029}"
 SIGN = r"[+\-−﹢﹣＋－]"
 NUMBER = rf"{SIGN}?[{SPACES}]*(?:\p{{Nd}}+(?:[.．]\p{{Nd}}*)?|[.．]\p{{Nd}}+)(?:[eEｅＥ]{SIGN}?\p{{Nd}}+)?"
 NUMERIC_COMMA = rf"(?<![\p{{Nd}}.．])({NUMBER}[{SPACES}]*)，([{SPACES}]*)(?={NUMBER})"
+#: What any NUMERIC_COMMA matches in part, without looking behind: texts without it have none.
+NEAR_NUMERIC_COMMA = rf"[\p{{Nd}}.．][{SPACES}]*，[{SPACES}]*{SIGN}?[{SPACES}]*[\p{{Nd}}.．]"
 NUMERIC_EXPRESSION = rf"\p{{N}}+(?:[.,]\p{{N}}+)?(?:[{ANY_SPACE}]+\p{{N}}+[/／]\p{{N}}+|[/／]\p{{N}}+)?"
 LATIN_WORD = "[A-Za-zＡ-Ｚａ-ｚ]+"
 MASK = ""
@@ -60,7 +62,7 @@ def split_clauses(text: Column) -> Column:
     """Clauses: what is between ends, each with the whole run of ends after it. Their concatenation is the text."""
     pattern = F.lit(f"[^{ENDS}]*[{ENDS}]+|[^{ENDS}]+")
     masked = lambda t: F.transform(F.regexp_extract_all(masked_numeric_commas(t), pattern, F.lit(0)), unmasked)
-    return let(text, lambda t: F.when(t.contains("，"), masked(t)).otherwise(F.regexp_extract_all(t, pattern, F.lit(0))))
+    return let(text, lambda t: F.when(t.contains("，") & t.rlike(NEAR_NUMERIC_COMMA), masked(t)).otherwise(F.regexp_extract_all(t, pattern, F.lit(0))))
 
 
 def boundary_offsets(text: Column) -> Column:
