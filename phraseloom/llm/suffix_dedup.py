@@ -40,6 +40,7 @@ POSITION_BITS = 22
 RUN = 1024
 HOT = 10_000
 FLUSH = 400_000
+FLUSH_BYTES = 16 << 20
 BUCKET_ENTRIES = 1_000_000
 BUCKET_BYTES = 2_500_000
 SORT_BYTES = 600_000
@@ -378,7 +379,7 @@ def texts_of(joined: DataFrame, n_buckets: int) -> DataFrame:
                     else:
                         later(earliest, (r["hash"], content), (doc, own, low), len(content))
                         size += 200 + len(content)
-            if size >= 16 << 20:
+            if size >= FLUSH_BYTES:
                 yield from _batches(sent())
                 earliest, windows, marks, size = {}, {}, set(), 0
         yield from _batches(sent())
@@ -456,15 +457,20 @@ def removal_spans(docs: DataFrame) -> DataFrame:
     texts = keyed(docs).drop("doc_id")
     total = int(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n_buckets = max(8, -(-total // (30 * BUCKET_ENTRIES)))
-    found = materialize(repeated_runs(runs_of(texts.select("key", "text"), n_buckets)), "runs")
+    # what a stretch sends on and its rows of bucket -1 must be of one evaluation: in another order of rows, stretches end elsewhere
+    packed = materialize(runs_of(texts.select("key", "text"), n_buckets), "packed")
+    found = materialize(repeated_runs(packed), "runs")
+    forget(packed)
     hot = found.where("key is null").select("hash", F.lit(True).alias("is_hot"))
     every = found.where("key is not null").join(hot, "hash", "left").select("key", "hash", "low", "windows", F.coalesce("hot", "is_hot", F.lit(False)).alias("hot"))
     size = int(found.where("key is not null").agg(F.sum(F.col("windows") + LENGTH)).first()[0] or 0)
     n_texts = max(8, -(-size // BUCKET_BYTES))
     by_row = every.groupBy("key").agg(F.collect_list(F.struct("low", "windows", "hash", "hot")).alias("runs"))
     joined = texts.join(by_row.hint("shuffle_hash"), "key")
-    marks = materialize(marks_of(texts_of(joined, n_texts), n_texts), "marks")
+    packed = materialize(texts_of(joined, n_texts), "texts")
     forget(found)
+    marks = materialize(marks_of(packed, n_texts), "marks")
+    forget(packed)
     return marks.groupBy("doc", "key").agg(F.collect_list(F.struct("low", "high")).alias("marks"))
 
 

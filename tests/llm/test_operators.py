@@ -161,6 +161,35 @@ def test_suffix_dedup(spark, monkeypatch, hot):
         assert suffix_dedup.deduplicate(table(spark, []).where("doc_id > 0")).count() == 0
 
 
+@pytest.mark.parametrize("hot", [20_000, 5])
+def test_suffix_dedup_of_rows_in_any_order(spark, monkeypatch, hot):
+    """A table's rows come in another order whenever it is read, and stretches end elsewhere."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "FLUSH", 40)
+    monkeypatch.setattr(suffix_dedup, "FLUSH_BYTES", 3000, raising=False)
+    monkeypatch.setattr(suffix_dedup, "runs", lambda batches, column, limit: (b.slice(k, 1) for b in batches for k in range(b.num_rows)))
+    rng = random.Random(9)
+    part = "".join(chr(97 + rng.randrange(26)) for _ in range(400))
+    rows = [(k, phrase(rng, 5) + part[rng.randrange(150) : rng.randrange(240, 400)] + phrase(rng, 5)) for k in rng.sample(range(999), 240)]
+
+    def stirred(batches):
+        for batch in batches:
+            order = list(range(batch.num_rows))
+            random.SystemRandom().shuffle(order)
+            yield batch.take(pa.array(order))
+
+    seen, want = {}, {}
+    for i, t in sorted(rows):
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 99):
+            if seen.setdefault(t[k : k + 100], (i, k)) != (i, k):
+                gone[k : k + 100] = True
+        want[i] = (len(t), int(gone.sum()), hashlib.sha256(bytes(np.frombuffer(t.encode(), np.uint8)[~gone])).hexdigest())
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = suffix_dedup.deduplicate(docs.mapInArrow(stirred, docs.schema)).collect()
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in got} == want and len(got) == len(want)
+
+
 def windows_by_hand(docs, items, size):
     pattern = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     windows = defaultdict(set)
